@@ -71,7 +71,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     struct = StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(struct, timezone="UTC")
+    arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None

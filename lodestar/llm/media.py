@@ -116,18 +116,18 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def stored_form(data: bytes) -> bytes:
-    """A PGM image of the bytes, filled with zeros to a positive multiple of its width."""
+    """A PGM image of the bytes, filled with zeros to a positive multiple of its width; a comment keeps their number."""
     rows = max(1, -(-len(data) // WIDTH))
-    return b"P5\n%d %d\n255\n" % (WIDTH, rows) + data.ljust(rows * WIDTH, b"\0")
+    return b"P5\n# %d\n%d %d\n255\n" % (len(data), WIDTH, rows) + data.ljust(rows * WIDTH, b"\0")
 
 
-def samples_of(media: bytes) -> bytes:
-    """The samples of a stored form."""
-    kind, size, depth, samples = media.split(b"\n", 3)
+def samples_of(media: bytes) -> tuple[bytes, int]:
+    """The samples of a stored form, and how many of them are data."""
+    kind, note, size, depth, samples = media.split(b"\n", 4)
     width, height = map(int, size.split())
     if kind != b"P5" or depth != b"255" or len(samples) != width * height:
         raise ValueError("not a stored form")
-    return samples
+    return samples, int(note[1:])
 
 
 def describe(samples: bytes) -> str:
@@ -149,32 +149,28 @@ def store_documents(df: DataFrame) -> DataFrame:
         digests = [hashlib.sha256(m).hexdigest() for m in media]
         docs = batch.column("doc_id").to_pylist()
         pages = [f'<article><p>Document {d}</p><figure><img src="{SCHEME}{x}" alt=""><figcaption>{n} code points</figcaption></figure></article>' for d, x, n in zip(docs, digests, map(len, batch.column("text").to_pylist()))]
-        sizes = [len(t.encode()) for t in batch.column("text").to_pylist()]
-        return {"doc_id": docs, "n_bytes": sizes, "html": pages, "digest": digests, "media": media}
+        return {"doc_id": docs, "html": pages, "digest": digests, "media": media}
 
-    return materialize(arrow_rows(texts(df), lambda: work, "doc_id long, n_bytes long, html string, digest string, media binary"), "media")
+    return materialize(arrow_rows(texts(df), lambda: work, "doc_id long, html string, digest string, media binary"), "media")
 
 
 def described(media: DataFrame) -> DataFrame:
     """Figures of stored media, from their bytes alone: a row for each row read."""
 
     def work(batch):
-        out: dict[str, list] = {k: [] for k in ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {k: [] for k in ("digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for m in batch.column("media").to_pylist():
-            samples, sha = samples_of(m), hashlib.sha256(m).hexdigest()
-            for k, v in zip(out, (sha, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(m), sha, describe(samples))):
+            (samples, size), sha = samples_of(m), hashlib.sha256(m).hexdigest()
+            for k, v in zip(out, (sha, size, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(m), sha, describe(samples))):
                 out[k].append(v)
         return out
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return arrow_rows(media.select("media"), lambda: work, schema, "media")
 
 
 def document_media(df: DataFrame) -> DataFrame:
     """Every document's medium, found again through its page: parsed, referred to by digest, joined and described."""
     stored = store_documents(df)
-    pages = stored.select("doc_id", "n_bytes", "html")
-    refs = references(interleave(pages, "doc_id"), "doc_id")
-    sizes = stored.select("digest", "n_bytes")
-    facts = resolve(refs, described(stored).withColumn("n_bytes", F.lit(None).cast("long")).drop("n_bytes"))
-    return facts.join(sizes.groupBy("digest").agg(F.min("n_bytes").alias("n_bytes")), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    refs = references(interleave(stored.select("doc_id", "html"), "doc_id"), "doc_id")
+    return resolve(refs, described(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
