@@ -29,7 +29,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the public word pattern of byte-level BPE.
 WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Entries a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -140,7 +140,7 @@ class TrieBPE:
         if self.white_runs.search(text):
             return self.find(text)
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks that are not yet remembered, all their distinct words in one traversal."""
@@ -157,16 +157,21 @@ class TrieBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts: list[list] = []
-        for text in texts:
-            row: list = []
-            cut = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]
-            for piece in cut:
-                row += [self.special[piece]] if piece in self.special else self.chunks(piece) if piece else []
-            parts.append(row)
-        self.learn({c for row in parts for c in row if c.__class__ is str})
-        known = self.known
-        return [b"".join([known[c] if c.__class__ is str else c.to_bytes(4, "little") for c in row]) for row in parts]
+        plain = [t for t in texts if not any(s in t for s in self.special)]
+        rows = list(map(self.chunks, plain))
+        self.learn(set().union(*rows))
+        known = self.known.__getitem__
+        if len(plain) == len(texts):
+            return [b"".join(map(known, row)) for row in rows]
+        of = dict(zip(plain, [b"".join(map(known, row)) for row in rows]))
+        return [of[t] if t in of else self.encode_special(t) for t in texts]
+
+    def encode_special(self, text: str) -> bytes:
+        """The ids of a text that spells out special tokens, which end the words around them."""
+        parts = self.split_special.split(text)
+        between = self.encode(parts[::2])
+        marks = [self.special[x].to_bytes(4, "little") for x in parts[1::2]]
+        return b"".join(x for pair in zip(between, [*marks, b""]) for x in pair)
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids, special tokens spelled out."""
