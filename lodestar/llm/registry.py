@@ -18,6 +18,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,10 +59,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_best_fit_packing, op6_media_columns, op8_secret_scans, op9_quality_classifier, op10_bpe)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op8_secret_scans, op9_quality_classifier, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lines
+    from . import chat, lines
 
-    return {"op3_line_dedup": lines.SQL}
+    return {"op3_line_dedup": lines.SQL, "op4_chat_formatting": chat.SQL}
