@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import dedup_spans
+
+    return dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -59,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op8_secret_scans, op9_quality_classifier, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op8_secret_scans, op9_quality_classifier, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
