@@ -25,11 +25,32 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, materialize, texts
 
 #: Chunks a worker remembers before it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 1_500_000
 #: Rows of one length that are ranked together, about.
 RANKED_TOGETHER = 200_000
 
 
+class _Known(dict):
+    """Packed ids by chunk; a chunk that is not yet known is encoded when it is asked for."""
+
+    #: Fixed value: the tokenizer's public pattern for what it encodes one by one.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, run):
+        import regex
+
+        self.run, self.pieces = run, regex.compile(self.PIECES).findall
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        # below U+0250 lower case is a matter of single characters, and nothing is composed anew
+        pieces = self.pieces(chunk.lower()) if max(chunk) < "\u0250" else None
+        found = self.run(chunk) if pieces is None or pieces == [chunk] else b"".join(map(self.__getitem__, pieces))
+        self[chunk] = found
+        return found
+
+
 class ChunkTokenizer:
     """Whole-text ids of a tokenizer that drops white space: each chunk between white space is encoded once."""
 
@@ -43,21 +64,14 @@ class ChunkTokenizer:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Texts in which a special token is spelled out, or where Python and the tokenizer differ on white space, go whole.
         self.whole = ("\x1c", "\x1d", "\x1e", "\x1f", *special)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.run)
 
-    def run(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def run(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        rows = [None if any(w in t for w in self.whole) else t.split() for t in texts]
-        new = {c for row in rows if row for c in row}.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {c for row in rows if row for c in row}
-        listed = list(new)
-        known.update(zip(listed, self.run(listed)))
-        return [self.run([t])[0] if row is None else b"".join(map(known.__getitem__, row)) for t, row in zip(texts, rows)]
+        known = self.known.__getitem__
+        return [self.run(t) if any(w in t for w in self.whole) else b"".join(map(known, t.split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
