@@ -44,6 +44,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_digests
 
@@ -65,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op8_secret_scans, op9_quality_classifier, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op7_document_fingerprints, op8_secret_scans, op9_quality_classifier, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
