@@ -61,7 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
             base, start = int(sizes[end - 1]), end
 
 
-def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str | None = "text") -> DataFrame:
+def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str | None = "text", chars: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow with a per-task state: ``make()`` runs once a task, its result once a slice.
 
     The function returns a dict of columns in the order of ``schema``.
@@ -75,7 +75,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for part in slices(batches, text) if text else batches:
+        for part in slices(batches, text, chars) if text else batches:
             work = work or make()
             columns = work(part)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)

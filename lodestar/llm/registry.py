@@ -18,6 +18,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -71,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op7_document_fingerprints, op8_secret_scans, op9_quality_classifier, op10_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_formatting, op5_best_fit_packing, op6_media_columns, op7_document_fingerprints, op8_secret_scans, op9_quality_classifier, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
