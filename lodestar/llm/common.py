@@ -46,6 +46,11 @@ def texts(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+def carried(df: DataFrame, names: Iterable[str]) -> str:
+    """The schema of columns that a function passes on, to be appended to its own."""
+    return "".join(f", `{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``chars`` bytes of text, one row at least."""
     import pyarrow.compute as pc

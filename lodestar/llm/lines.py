@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, texts
+from .common import arrow_rows, carried, materialize, texts
 
 #: Fixed values of the key: white space stripped at both ends.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -135,9 +135,9 @@ def probe_shard(probes: pa.Table, shard: pa.Table, min_docs: int) -> pa.Table:
     return pa.table({"doc_id": doc[drop], "h": h[drop]})
 
 
-def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept: the text without the lines that a later document keeps."""
-    docs = texts(df)
+def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept: the text without the lines that a later document keeps; and the columns to carry."""
+    docs = texts(df, *carry)
 
     def hashes():
         def work(batch):
@@ -152,7 +152,7 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFr
 
         return work
 
-    probes = materialize(arrow_rows(docs, hashes, "doc_id long, h long, fp int").distinct(), "line-probes")
+    probes = materialize(arrow_rows(docs.select("doc_id", "text"), hashes, "doc_id long, h long, fp int").distinct(), "line-probes")
     rows = probes.count()
     lines = materialize(probes.groupBy("h", "fp").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")), "line-counts")
     hot_docs = max(HOT_DOCS, -(-rows // HOT_LINES))  # so that rows / hot_docs, the most there can be, is bounded
@@ -184,11 +184,11 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFr
                     gone = {i for i, x, f in zip(at.tolist(), h.tolist(), fp.tolist()) if x in drop or common.get((x, f), doc) != doc}
                 for k, v in zip(out, (doc, len(lines), len(gone), "\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)):
                     out[k].append(v)
-            return out
+            return out | {k: batch.column(k) for k in carry}
 
         return work
 
-    return arrow_rows(docs.join(by_doc, "doc_id", "left"), strip, "doc_id long, n_lines long, n_dropped long, kept string")
+    return arrow_rows(docs.join(by_doc, "doc_id", "left"), strip, "doc_id long, n_lines long, n_dropped long, kept string" + carried(docs, carry))
 
 
 #: The same rows in DuckDB.

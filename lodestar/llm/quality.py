@@ -117,16 +117,36 @@ def learn(rows: DataFrame) -> Discriminant:
     return Discriminant(out)
 
 
+def fitted(facts: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model of the labelled rows not held out; facts: doc_id and x."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").filter(~held_out())
+    return learn(facts.join(known, "doc_id").select("x", "y"))
+
+
 def score_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learned from the labelled ones not held out."""
     facts = materialize(document_statistics(df), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").filter(~held_out())
-    model = learn(facts.join(known, "doc_id").select("x", "y"))
+    model = fitted(facts, labels)
 
     def work(batch):
         x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N)
-        score = model.score(x)
-        return {"doc_id": batch.column("doc_id"), "score": score}
+        return {"doc_id": batch.column("doc_id"), "score": model.score(x)}
 
     scored = arrow_rows(facts, lambda: work, "doc_id long, score double", None)
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def good_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of df whose whole text is predicted to be good, with all their columns; no row is moved."""
+    model = fitted(document_statistics(df), labels)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        from .common import slices
+
+        for batch in slices(batches):
+            x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, N)
+            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return df.mapInArrow(keep, df.schema)
