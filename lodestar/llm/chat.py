@@ -82,14 +82,17 @@ def ranked_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     known = edges.select("tree", F.col("node").alias("parent"), F.col("node").alias("jump"))
     reach = edges.join(known, ["tree", "parent"], "left").select("tree", "node", "jump", F.when(F.col("jump").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), "total")
     jumps = [materialize(reach, "jumps")]
+    done = jumps[0].filter(F.col("jump").isNull())
     limit = edges.count()
     while 2 ** (len(jumps) - 1) <= limit and jumps[-1].filter(F.col("jump").isNotNull()).head(1):
-        near = jumps[-1]
-        far = near.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"), F.col("total").alias("_total"))
-        further = near.join(far, ["tree", "jump"], "left").select("tree", "node", F.col("_jump").alias("jump"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
+        # only nodes that haven't reached their root go on; the others are still looked up
+        near = jumps[-1].filter(F.col("jump").isNotNull())
+        far = near.unionByName(done).select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"), F.col("total").alias("_total"))
+        further = near.join(far, ["tree", "jump"]).select("tree", "node", F.col("_jump").alias("jump"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("total") + F.col("_total")).alias("total"))
         jumps.append(materialize(further, "jumps"))
+        done = done.unionByName(jumps[-1].filter(F.col("jump").isNull()))
     parents = jumps[0].filter(F.col("jump").isNotNull()).select("tree", F.col("jump").alias("node"))
-    leaves = jumps[-1].filter(F.col("jump").isNull()).join(parents, ["tree", "node"], "left_anti")
+    leaves = done.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     path = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("branch_score"), F.col("steps").alias("depth"), "node")
     for k in reversed(range(len(jumps) - 1)):
