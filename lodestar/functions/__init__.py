@@ -1 +1,99 @@
-"""functions of the engine."""
+"""Scalar functions: durations, time buckets, fixed decimals, canonical JSON, statuses."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Seconds of duration units.
+UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hr": 3600, "d": 86400, "w": 604800}
+
+
+def duration_seconds(text: Column) -> Column:
+    """Seconds of a literal such as 30d or 12h; null for anything else and for zero."""
+    n = F.regexp_extract(text, r"^([0-9]+)[dhms]$", 1)
+    unit = F.create_map(*(F.lit(x) for k in "dhms" for x in (k, UNITS[k])))
+    seconds = F.try_to_number(n, F.lit("9" * 18)).cast("long") * F.try_element_at(unit, F.right(text, F.lit(1)))
+    return F.when((n != "") & (seconds > 0), seconds)
+
+
+def loose_duration(text: Column) -> Column:
+    """Seconds of a literal with any known unit, or none, which means seconds; null for anything else."""
+    pattern = "^([0-9]+)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")?$"
+    n, unit = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    known = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    return F.when(n != "", F.try_to_number(n, F.lit("9" * 18)).cast("long") * F.coalesce(F.try_element_at(known, unit), F.lit(1)))
+
+
+def iso_week(ts: Column) -> Column:
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+
+
+def instant(text: Column) -> Column:
+    """A timestamp of ISO text, UTC where it names no zone; null if it is none."""
+    return F.try_to_timestamp(text)
+
+
+def is_past(text: Column, today: Column) -> Column:
+    """True for a valid ISO date before today."""
+    return F.coalesce(text.try_cast("date") < today, F.lit(False))
+
+
+def token_estimate(text: Column) -> Column:
+    return F.floor(F.octet_length(text) / 4).cast("long")
+
+
+def trunc_div(a: Column, b: Column) -> Column:
+    """Integer division toward zero."""
+    return F.when(b != 0, (F.signum(a) * F.signum(b) * F.floor(F.abs(a) / F.abs(b))).cast("long"))
+
+
+def to_micro(text: Column) -> Column:
+    """Whole millionths of a decimal text with at most six places; null for anything else."""
+    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]{1,6})?$"), (text.try_cast("decimal(30,6)") * 1_000_000).cast("decimal(38,0)"))
+
+
+def from_micro(value: Column, places: int = 6) -> Column:
+    """Decimal text of millionths with ``places`` places, halves away from zero."""
+    return F.round((value.cast("decimal(30,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(36,6)"), places).cast(f"decimal(36,{places})").cast("string")
+
+
+def canonical_digest(*columns: str) -> Column:
+    """SHA-256 of the columns as JSON with sorted keys and no spaces; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)
+
+
+def saturated_u32(value: Column) -> Column:
+    return F.least(F.greatest(value, F.lit(0)), F.lit(2**32 - 1))
+
+
+def share_micros(part: Column, total: Column) -> Column:
+    """Floor millionths of part / total, 0 where total is 0."""
+    return F.when(total == 0, 0).otherwise(F.floor(part.cast("decimal(20,0)") * 1_000_000 / total)).cast("long")
+
+
+def secret_name(name: Column) -> Column:
+    return name.rlike(r"(?i)(pass(word|wd)?|secret|token|api_?key|private_?key|credential)")
+
+
+def rgb(text: Column) -> Column:
+    """Numbers of rgb() or rgba() text as an array of doubles, null if it is neither."""
+    numbers = F.regexp_extract_all(text, F.lit(r"([0-9]*\.?[0-9]+)"))
+    return F.when(text.rlike(r"^\s*rgba?\("), F.transform(numbers, lambda x: x.cast("double")))
+
+
+def css_px(text: Column) -> Column:
+    """Pixels of a px or rem length."""
+    n = F.regexp_extract(text, r"^\s*(-?[0-9]*\.?[0-9]+)(px|rem)\s*$", 1)
+    return F.when(n != "", n.try_cast("double") * F.when(F.trim(text).endswith("rem"), 16.0).otherwise(1.0))
+
+
+def css_ms(text: Column) -> Column:
+    """Milliseconds of an s or ms duration."""
+    n = F.regexp_extract(text, r"^\s*([0-9]*\.?[0-9]+)(ms|s)\s*$", 1)
+    return F.when(n != "", n.try_cast("double") * F.when(F.trim(text).endswith("ms"), 1.0).otherwise(1000.0))
+
+
+def chained(previous: Column, digest: Column) -> Column:
+    """The next link of a hash chain."""
+    return F.sha2(F.concat(previous, digest), 256)

@@ -1 +1,14 @@
-"""plans of the engine."""
+"""All named queries of the engine."""
+
+from __future__ import annotations
+
+from . import events, rules  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

@@ -1 +1,71 @@
-"""sources of the engine."""
+"""Readers: tables, event logs, source trees, front matter and change manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Extensions and the languages they stand for.
+LANGUAGES = {
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin",
+    "scala": "scala", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp",
+    "rb": "ruby", "php": "php", "ex": "elixir", "exs": "elixir", "hs": "haskell", "lua": "lua", "sh": "bash", "bash": "bash",
+    "sol": "solidity", "swift": "swift", "svelte": "svelte",
+}
+#: Directories that a listing doesn't enter.
+PRUNED = ("git", "hg", "svn", "venv", "tox", "cache")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables of a directory."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """Valid rows of a line-delimited JSON log, and the malformed lines as diagnostics; a torn last line is one of these."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    parsed = raw.withColumn("row", F.from_json("value", StructType(fields.fields).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    return parsed.filter(~bad).select(*(F.col(f"row.{f.name}").alias(f.name) for f in fields)), parsed.filter(bad & (F.trim("value") != "")).select("file", "value")
+
+
+def source_tree(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path, size, mtime and content of the files below a directory, generated and hidden ones left out."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return files.filter(~directory_pruned(F.col("path"))).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+
+
+def directory_pruned(path: Column) -> Column:
+    """True for paths through directories of version control, caches, environments and packages."""
+    return path.rlike(r"(^|/)(\.(" + "|".join(PRUNED) + r")|node_modules|__pycache__|dist|build|target|\.worktrees)(/|$)")
+
+
+def language(path: Column) -> Column:
+    """The language of a path by its extension, null if none is known."""
+    known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
+
+
+def minified(text: Column) -> Column:
+    """True for generated text (marked in its first five lines) and for text of mostly very long lines."""
+    lines = F.split(text, "\n")
+    marked = F.exists(F.slice(lines, 1, 5), lambda x: x.contains("Code generated") & x.contains("DO NOT EDIT"))
+    lengths = F.transform(lines, F.length)
+    return marked | ((F.array_max(lengths) >= 2000) & (F.size(F.filter(lengths, lambda n: n >= 500)) * 2 >= F.size(lines)))
+
+
+def front_matter(text: Column) -> tuple[Column, Column]:
+    """The front matter between lines of three dashes at the start of a text, null without one, and the body."""
+    block = r"\A---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+    return F.when(text.rlike(block), F.regexp_extract(text, block, 1)), F.regexp_replace(text, block, "")
+
+
+def manifest_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:
+    """key and status of each entry of two manifests: new, deleted, changed or unchanged."""
+    a, b = old.select(key, F.col(value).alias("_old"), F.lit(True).alias("_a")), new.select(key, F.col(value).alias("_new"), F.lit(True).alias("_b"))
+    status = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "deleted").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("changed")
+    return a.join(b, key, "full").select(key, status.alias("status"))
