@@ -254,10 +254,13 @@ def title_of(html: str | None) -> str | None:
     return " ".join(unescape(re.sub("<[^>]*>", "", m[1])).split()) or None if m else None
 
 
-@F.pandas_udf("title string, text string")
-def page_text(html: pd.Series) -> pd.DataFrame:
+def page_text(html: Column | str) -> Column:
     """Title and Markdown text of pages."""
-    return pd.DataFrame({"title": html.map(title_of), "text": html.map(markdown_of)})
+
+    def read(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"title": html.map(title_of), "text": html.map(markdown_of)})
+
+    return F.pandas_udf(read, "title string, text string")(html)
 
 
 def redaction(text: str, rules: list[tuple[str, re.Pattern]], values: list[str] = ()) -> tuple[str, list[tuple[int, int, str]]]:
@@ -322,9 +325,13 @@ def minhash_of(text: str | None) -> list[int] | None:
     return out.view(np.int64).tolist()
 
 
-@F.pandas_udf("array<bigint>")
-def minhash(text: pd.Series) -> pd.Series:
-    return text.map(minhash_of)
+def minhash(text: Column | str) -> Column:
+    """The four band hashes of each text."""
+
+    def of(text: pd.Series) -> pd.Series:
+        return text.map(minhash_of)
+
+    return F.pandas_udf(of, "array<bigint>")(text)
 
 
 def band_groups(df: DataFrame, key: str, signature: str) -> DataFrame:
