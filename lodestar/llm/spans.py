@@ -12,7 +12,7 @@ split a hot hash; a passage in a third of all documents is thus a sum, not a gro
 Defined results: a null or empty text has no sentences and stays; texts shorter than a span stay;
 of equal texts the one with the smallest doc_id stays whole; a passage repeated inside a
 document keeps its first place; repeated rows of a doc_id are one document whose occurrences
-coincide, and are cleaned alike; other columns are ignored; an empty table gives an empty result.
+coincide, and are cleaned alike; rows without a doc_id only lose what they repeat themselves; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """h, doc_id and origin (the first document with it) of the spans that an earlier document holds."""
-    rows = span_rows(docs)
+    rows = materialize(span_rows(docs.filter("doc_id IS NOT NULL")), "spans")
     common = rows.groupBy("h").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("_last")).filter("origin < _last")
     common = materialize(common.select("h", "origin"), "span-origins")
     return rows.join(common, "h").filter("doc_id > origin")
