@@ -111,7 +111,8 @@ def references(sequences: DataFrame, key: str = "page_id") -> DataFrame:
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
     """Joins references to media by digest; media may repeat, references without media stay."""
     columns = [c for c in media.columns if c != "digest"]
-    once = media.groupBy("digest").agg(*(F.min(c).alias(c) for c in columns))
+    # written, so that the join below is one of two exchanges and may split a digest that many refer to
+    once = materialize(media.groupBy("digest").agg(*(F.min(c).alias(c) for c in columns)), "media-once")
     return refs.join(once, "digest", "left")
 
 
