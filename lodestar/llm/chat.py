@@ -12,7 +12,7 @@ string is left in a text, and the change can be undone.
 Defined results: null texts, roles and scores are empty or 0; a parent that is missing makes a node
 a root; rows of one turn are ordered by role and text; repeated rows are turns of
 their own; trees of any depth and texts of any length are kept whole; nodes in a cycle have no
-root and are left out; other columns are ignored; an empty table gives an empty result.
+root and are left out, as are turns without a conversation; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ answered from a broadcast table, so that no shard gets a common line's rows.
 
 Defined results: a null or empty text is one empty line; repeated rows of a doc_id count as one
 document, and each is cleaned; ties can't occur, as the largest doc_id keeps the line; very long
-texts are split whole; other columns are ignored; an empty table gives an empty result.
+texts are split whole; rows without a doc_id stay as they are and don't count; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tu
 
         return work
 
-    probes = materialize(arrow_rows(docs.select("doc_id", "text"), hashes, "doc_id long, h long, fp int").distinct(), "line-probes")
+    probes = materialize(arrow_rows(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), hashes, "doc_id long, h long, fp int").distinct(), "line-probes")
     rows = probes.count()
     lines = materialize(probes.groupBy("h", "fp").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")), "line-counts")
     hot_docs = max(HOT_DOCS, -(-rows // HOT_LINES))  # so that rows / hot_docs, the most there can be, is bounded
@@ -178,7 +178,7 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tu
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_lines", "n_dropped", "kept")}
             for doc, text, drop in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "drop"))):
                 lines, gone = text.split("\n"), set()
-                if drop or common:
+                if doc is not None and (drop or common):
                     drop = set(drop or ())
                     at, h, fp = line_hashes(lines, min_chars)
                     gone = {i for i, x, f in zip(at.tolist(), h.tolist(), fp.tolist()) if x in drop or common.get((x, f), doc) != doc}

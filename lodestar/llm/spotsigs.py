@@ -12,7 +12,8 @@ threshold.
 
 Defined results: a null or empty text has an empty fingerprint; two empty fingerprints are alike (1), an empty one and
 another are not (0); very long texts are fingerprinted whole; repeated rows of a doc_id follow one
-another; the next document of the last one is the first; other columns are ignored; an empty
+another; the next document of the last one is the first; rows without a doc_id have no place in the order and
+are left out; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -94,7 +95,7 @@ def edited(text: Column, following: Column) -> Column:
 
 def document_fingerprints(df: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and likenesses to the edited and to the next text."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     own = docs.withColumn("sigs", signatures(F.col("text")))
     pairs = with_next(own, "text", "sigs").withColumn("edited", edited(F.col("text"), F.col("next_text")))
     done = pairs.withColumn("edited_sigs", signatures(F.col("edited")))
