@@ -38,7 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs.
+
+    Spark drops those once their plans are garbage, which a driver with much memory may not notice for long.
+    """
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def texts(df: DataFrame, *keep: str) -> DataFrame:

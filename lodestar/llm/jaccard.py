@@ -4,13 +4,15 @@ Method: a document is the set of its five-word shingles; equal sets are one clas
 what is joined.  All tokens have one global order: by hash, but the common ones, found by counting
 over all documents, come last.  Of n tokens, a class has to share at least l of its first
 n - ceil(0.8 n) + l with every class it links with; each class gets the l, from 1 to LONGEST, for
-which the candidates it is expected to verify cost least.  Tokens of one class alone
-propose nothing.  Tokens of at most CAP classes propose all their pairs; a pair is verified
-if the tokens it shares, and those it could still share, can reach the similarity, and if its classes
-are not yet connected otherwise.  Tokens of more classes are taken in rounds: a few pivots, more each
-round, are compared with all classes of the token that are not yet connected with them, then leave it.
-No pair is left out except between classes already known to be connected, so the components
-are exact, while a group of n copies takes about n comparisons.
+which the candidates it is expected to verify cost least, and which exceeds the number of its prefix
+tokens that more than CAP classes have, so that a link always shows in a token of few.  Tokens of one class
+alone propose nothing.  Tokens of few classes propose all their pairs; a pair is verified if the
+tokens it shares, and those it could still share, can reach the similarity, and if its classes
+are not yet connected otherwise.  Classes whose prefixes are full of tokens of many, as those of large groups of
+copies are, also meet in these, in rounds: a few pivots, more each round, are compared with all
+full classes of the token that are not yet connected with them, then leave it.  No pair is left out except
+between classes already known to be connected, so the components are exact, while a group of n
+copies takes about n comparisons.
 
 Defined results: a null, empty or blank text has an empty set and is a component of its own; a text of fewer than
 five words is one shingle, the whole sequence; repeated rows are rows of one class; texts of any
@@ -24,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, texts
+from .common import arrow_rows, materialize, release, texts
 from .components import components
 
 #: The similarity is at least TIMES / OF.
 TIMES, OF = 4, 5
 WORDS = 5
-LONGEST = 4
+LONGEST = 16
 CAP = 32
 #: A slice's tokens are counted before they are summed; those in fewer of its documents are not.
-SLICE, SLICE_LEAST = 8_000_000, 3
+SLICE, SLICE_LEAST = 8_000_000, 2
 #: A common token is in at least so many documents, and in so many that COMMON is the most there can be.
 COMMON_LEAST, COMMON = 32, 2_000_000
+#: Keys that are broadcast to choose rows by; more of them are joined by shuffle.
+BROADCAST = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,13 +103,13 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, common) -> DataFrame:
-    """token, cls, n and pos for the longest prefix of each document; common: broadcast, sorted."""
+    """token, cls and at (n and pos in one number) for the longest prefix of each document; common: broadcast, sorted."""
 
     def make():
         last = common.value
 
         def work(batch):
-            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]]
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
             had = set()
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
@@ -120,28 +124,36 @@ def prefixes(docs: DataFrame, common) -> DataFrame:
                     if late.any():
                         s = np.concatenate([s[~late], s[late]])
                 s = s[: base_prefix(n) + LONGEST - 1].view(np.int64)
-                for column, values in zip(out, (s, np.full(s.size, name, np.int64), np.full(s.size, n, np.int32), np.arange(s.size, dtype=np.int32))):
+                for column, values in zip(out, (s, np.full(s.size, name, np.int64), (n << 32) + np.arange(s.size))):
                     column.append(values)
-            return dict(zip(("token", "cls", "n", "pos"), map(np.concatenate, out)))
+            return dict(zip(("token", "cls", "at"), map(np.concatenate, out)))
 
         return work
 
-    return arrow_rows(docs, make, "token long, cls long, n int, pos int")
+    return arrow_rows(docs, make, "token long, cls long, at long")
 
 
 def adapted(index: DataFrame) -> DataFrame:
-    """cls, n, len and big: the prefix length of the cheapest l for each class, and how many tokens of many classes are in it.
+    """cls, l, len, big and full: each class's cheapest l and the length of its prefix; the tokens of many classes in it.
 
-    A prefix of l extra tokens scans the lists of all its tokens and verifies the classes found in l
-    of them, at most the l-th part of what it scans; verifying costs as the set's size.
+    A prefix of l extra tokens scans the lists of its tokens and verifies the classes found in l of them, at
+    most the l-th part of what it scans; verifying costs as the set's size.  With fewer than l tokens of
+    many classes in it, every class it links with also shares a token of few, so those of many need not be scanned at
+    all.  Where even the longest prefix has too many, the class is full: it takes that prefix and scans all.
     """
-    weight = F.least("df", F.lit(100 * CAP)) - 1
     first = base_prefix(F.col("n"))
-    scanned = [F.sum(F.when(F.col("pos") < first + k - 1, weight).otherwise(0)).alias(f"s{k}") for k in range(1, LONGEST + 1)]
-    big = [F.sum(F.when((F.col("pos") < first + k - 1) & (F.col("df") > CAP), 1).otherwise(0)).alias(f"b{k}") for k in range(1, LONGEST + 1)]
-    sums = index.groupBy("cls").agg(F.first("n").alias("n"), *scanned, *big)
-    choice = F.array_min(F.array(*(F.struct((F.col(f"s{k}") * (1 + F.col("n") / 8 / k)).alias("cost"), F.lit(k).alias("l"), F.col(f"b{k}").alias("big")) for k in range(1, LONGEST + 1))))
-    return sums.withColumn("_c", choice).select("cls", F.col("_c.l").alias("l"), F.least(F.col("n"), base_prefix(F.col("n")) + F.col("_c.l") - 1).alias("len"), F.col("_c.big").alias("big"))
+    few = F.when(F.col("df") <= CAP, F.col("df") - 1).otherwise(0)
+    many = F.when(F.col("df") > CAP, 1).otherwise(0)
+    sums = index.groupBy("cls").agg(
+        F.min("n").alias("n"),
+        *(F.sum(F.when(F.col("pos") < first + k - 1, few).otherwise(0)).alias(f"s{k}") for k in range(1, LONGEST + 1)),
+        *(F.sum(F.when(F.col("pos") < first + k - 1, many).otherwise(0)).alias(f"b{k}") for k in range(1, LONGEST + 1)),
+    )
+    # l is at most ceil(0.8 n), with which the prefix is the whole set
+    options = [F.when((F.col(f"b{k}") < k) & (first + k - 1 <= F.col("n")), F.struct((F.col(f"s{k}") * (1 + F.col("n") / 8 / k)).alias("cost"), F.lit(k).alias("l"), F.col(f"b{k}").alias("big"))) for k in range(1, LONGEST + 1)]
+    best = sums.withColumn("_c", F.array_min(F.array_compact(F.array(*options))))
+    l = F.coalesce(F.col("_c.l"), F.least(F.lit(LONGEST), F.col("n") - first + 1))
+    return best.select("cls", l.alias("l"), F.least(F.col("n"), first + l - 1).alias("len"), F.coalesce(F.col("_c.big"), F.col(f"b{LONGEST}")).alias("big"), F.col("_c").isNull().alias("full"))
 
 
 def enough(nx: Column, ny: Column) -> Column:
@@ -167,15 +179,32 @@ def candidates(index: DataFrame) -> DataFrame:
     return met.filter(good).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "c")
 
 
+def chosen(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df with a wanted key, and the other columns of wanted: broadcast if there are few enough, else joined by shuffle."""
+    wanted = materialize(wanted, "wanted")
+    return df.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, key)
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and set, its tokens' low 48 bits, of the wanted classes (doc_id: one row of each)."""
+    """cls and set, its tokens' low 48 bits, of the wanted classes (doc_id and cls: one row of each)."""
 
     def work(batch):
         sets = list(map(shingles, batch.column("text").to_pylist()))
-        return {"cls": list(map(class_of, sets)), "set": [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]}
+        right = [i for i, (s, cls) in enumerate(zip(sets, batch.column("cls").to_pylist())) if class_of(s) == cls]
+        return {"cls": batch.column("cls").take(pa.array(right, pa.int64())), "set": [sets[i].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in right]}
+
+    return arrow_rows(chosen(docs, wanted.select("doc_id", "cls"), "doc_id"), lambda: work, "cls long, set binary")
 
-    chosen = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return arrow_rows(chosen, lambda: work, "cls long, set binary").dropDuplicates(["cls"])
+
+def promising(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough tokens of their prefixes to be similar enough."""
+    own = index.groupBy("cls").agg(F.collect_set("token").alias("tokens"), F.min("n").alias("n"), F.min("l").alias("l"), F.min("len").alias("len"))
+    own = chosen(own, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    x, y = (own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)) for s in "ab")
+    both = pairs.join(x, F.col("a") == F.col("cls_a")).join(y, F.col("b") == F.col("cls_b"))
+    c = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    beyond = F.greatest(F.col("n_a") - F.col("len_a"), F.col("n_b") - F.col("len_b"))
+    return both.filter((c >= F.least("l_a", "l_b")) & (c + beyond >= enough(F.col("n_a"), F.col("n_b")))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,7 +224,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(both * OF >= (x.size + y.size - both) * TIMES)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    first = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), "set"), "a")
+    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    sets = chosen(sets, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    first = pairs.join(sets.select(F.col("cls").alias("a"), "set"), "a")
     both = first.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("other")), "b")
     return both.select("a", "b", "set", "other").mapInArrow(work, "a long, b long")
 
@@ -207,20 +238,42 @@ def label_of(df: DataFrame, labels: DataFrame | None, column: str, name: str) ->
     return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("_label")), column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
+def full_rows(index: DataFrame) -> DataFrame:
+    """token, cls, n, len, m and few of full classes at their tokens of many.
+
+    m is how many of a class's tokens another could have, as tokens of a prefix that aren't in the index are no
+    other class's; few is how many tokens of few classes its prefix has.
+    """
+    full = index.filter("full")
+    own = full.groupBy("cls").agg((F.min("n") - F.min("len") + F.count("*")).alias("m"), F.count_if(F.col("df") <= CAP).alias("few"))
+    return full.filter(F.col("df") > CAP).join(own, "cls").select("token", "cls", "n", "len", "m", "few")
+
+
 def pivot_pairs(big: DataFrame, labels: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of pivots with the classes of their tokens that aren't connected with them; and big without what is settled.
 
-    A token is settled when its classes have one label.  Its pivots are the classes of the smallest hashes,
-    about ``pivots`` of them; compared with all others, they leave the token.
+    A token is settled when its classes have one label.  Its pivots are the class with the smallest share of tokens of
+    its own, which most copies are alike to, and those of the smallest hashes, about ``pivots`` of them; compared
+    with all others that have enough tokens in common with anything, they leave the token.
     """
-    rows = materialize(label_of(big, labels, "cls", "label").withColumn("h", F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(1 << 40))), "big")
-    stats = rows.groupBy("token").agg(F.count("*").alias("d"), F.min("h").alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1")
-    stats = materialize(stats.select("token", F.greatest(F.col("low"), F.floor(F.lit(float(1 << 40)) * (pivots - 1) / F.col("d")).cast("long")).alias("bar")), "tokens")
-    open_ = materialize(rows.join(stats, "token").select("token", "cls", "n", "label", (F.col("h") <= F.col("bar")).alias("pivot")), "open")
-    p = open_.filter("pivot").select("token", F.col("cls").alias("p"), F.col("n").alias("m"), F.col("label").alias("own"))
-    pairs = open_.join(p, "token").filter((F.col("label") != F.col("own")) & alike_in_size(F.col("n"), F.col("m")))
-    pairs = pairs.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
-    return pairs, open_.filter("not pivot").select("token", "cls", "n")
+    place = F.struct((1 - F.col("m") / F.col("n")).alias("own"), F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(1 << 40)).alias("h"))
+    rows = materialize(label_of(big, labels, "cls", "label").withColumn("place", place), "big")
+    stats = rows.groupBy("token").agg(F.count("*").alias("d"), F.min("place").alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1")
+    stats = materialize(stats.select("token", "low", F.floor(F.lit(float(1 << 40)) * (pivots - 1) / F.col("d")).cast("long").alias("bar")), "tokens")
+    chosen_ = (F.col("place") == F.col("low")) | (F.col("place.h") < F.col("bar"))
+    facts = ["n", "len", "m", "few"]
+    open_ = materialize(rows.join(stats, "token").select("token", "cls", *facts, "label", chosen_.alias("pivot")), "open")
+    # a pivot of one token is compared at all its tokens, so that what a pair shares can be counted
+    pivot = chosen(open_.select("token", "cls", *facts, "label"), open_.filter("pivot").select("cls").distinct(), "cls")
+    p = pivot.select("token", *(F.col(c).alias(f"p_{c}") for c in ("cls", *facts, "label")))
+    may = (F.col("label") != F.col("p_label")) & (F.least("m", "p_m") >= enough(F.col("n"), F.col("p_n")))
+    met = open_.join(p, "token").filter(may & alike_in_size(F.col("n"), F.col("p_n")))
+    met = met.groupBy(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("cls") < F.col("p_cls")).alias("_s")).agg(F.count("*").alias("c"), *(F.min(x).alias(x) for f in facts for x in (f, f"p_{f}")))
+    shared = F.col("c") + F.least("few", "p_few")
+    reach = shared + F.greatest(F.col("n") - F.col("len"), F.col("p_n") - F.col("p_len"))
+    pairs = met.filter(reach >= enough(F.col("n"), F.col("p_n"))).select("a", "b").distinct()
+    left = open_.join(pivot.select("cls").distinct(), "cls", "left_anti")
+    return pairs, left.select("token", "cls", *facts)
 
 
 def join_documents(df: DataFrame) -> DataFrame:
@@ -236,36 +289,44 @@ def join_documents(df: DataFrame) -> DataFrame:
 
     prefix = prefixes(docs, common)
     several = prefix.groupBy("token").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high")).filter("_low != _high").select("token")
-    found = materialize(prefix.join(materialize(several, "tokens"), "token").distinct(), "postings")
+    several = materialize(several, "tokens")
+    release(spark)
+    found = prefix.join(several, "token").distinct()
+    found = materialize(found.select("token", "cls", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")), "postings")
     df_of = materialize(found.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
+    release(spark, several)
     counted_index = materialize(found.join(df_of, "token"), "frequent-postings")
     choice = materialize(adapted(counted_index), "prefixes")
     index = materialize(counted_index.join(choice, "cls").filter("pos < len"), "index")
+    release(spark, found, df_of, counted_index, choice)
     near = materialize(candidates(index), "candidates")
-    big = index.filter(F.col("df") > CAP).select("token", "cls", "n")
+    release(spark)
+    big = materialize(full_rows(index), "full")
 
     first = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     first = materialize(first, "classes")
     used = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).union(big.select("cls")).distinct()
-    sets = materialize(token_sets(docs, first.join(used, "cls")).join(used, "cls", "left_semi"), "sets")
+    sets = materialize(token_sets(docs, first.join(used, "cls")), "sets")
 
     # each class's partner of most shared tokens and its smallest one connect most of what is alike
     ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "c"))
     best = ends.groupBy("x").agg(F.max(F.struct("c", "y")).alias("m"), F.min("y").alias("s"))
     best = best.select("x", F.explode(F.array(F.col("m.y"), F.col("s"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pivots, labels, links, rest = 2, None, None, near
+    pivots, labels, links, rest = 4, None, None, near
     while True:
         pairs, big = pivot_pairs(big, labels, pivots)
+        pairs = promising(materialize(pairs, "pivot-pairs"), index)
         if labels is None:
             pairs = pairs.union(best)
         elif rest is not None:
             both = label_of(label_of(rest, labels, "a", "_la"), labels, "b", "_lb").filter("_la != _lb").select("a", "b")
             pairs, rest = pairs.union(both), None
-        new = materialize(verified(pairs.distinct(), sets), "links")
+        new = materialize(verified(pairs, sets), "links")
         links = new if links is None else links.union(new)
         if labels is None or new.head(1):
             labels = components(links)
-        pivots *= 4
+        release(spark)
+        pivots *= 8
         if rest is None and not big.head(1):
             break
     named = label_of(first, labels, "cls", "label")
