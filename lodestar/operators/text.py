@@ -155,7 +155,8 @@ def leading_documentation(body: Column) -> Column:
     """The first triple-quoted string, else the comment lines at the start; empty without either."""
     quoted = F.regexp_extract(body, r'("""|\'\'\')([\s\S]*?)\1', 2)
     comment = F.regexp_extract(body, r"\A\s*((?:(?:#|//)[^\n]*(?:\n|\z)\s*)+)", 1)
-    return F.trim(F.when(quoted != "", quoted).otherwise(F.regexp_replace(comment, r"(?m)^\s*(?:#+|//+)\s?", "")))
+    text = F.when(quoted != "", quoted).otherwise(F.regexp_replace(comment, r"(?m)^\s*(?:#+|//+)\s?", ""))
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
 def accessor(name: Column) -> Column:
