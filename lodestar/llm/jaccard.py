@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, release, texts
+from .common import arrow_rows, materialize, release, slices, texts
 from .components import components
 
 #: The similarity is at least TIMES / OF.
@@ -39,7 +39,7 @@ SLICE, SLICE_LEAST = 8_000_000, 2
 #: A common token is in at least so many documents, and in so many that COMMON is the most there can be.
 COMMON_LEAST, COMMON = 32, 2_000_000
 #: Keys that are broadcast to choose rows by; more of them are joined by shuffle.
-BROADCAST = 1_000_000
+BROADCAST = 500_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,26 +207,28 @@ def promising(pairs: DataFrame, index: DataFrame) -> DataFrame:
     return both.filter((c >= F.least("l_a", "l_b")) & (c + beyond >= enough(F.col("n_a"), F.col("n_b")))).select("a", "b")
 
 
+def unpacked(packed: bytes) -> np.ndarray:
+    """The tokens of a set of token_sets."""
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
-    def tokens(packed: bytes) -> np.ndarray:
-        out = np.zeros((len(packed) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-        return out.view(np.uint64).ravel()
-
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches, "set", SLICE):
             keep = []
             for x, y in zip(batch.column("set").to_pylist(), batch.column("other").to_pylist()):
-                x, y = tokens(x), tokens(y)
+                x, y = unpacked(x), unpacked(y)
                 both = np.intersect1d(x, y, assume_unique=True).size
                 keep.append(both * OF >= (x.size + y.size - both) * TIMES)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     sets = chosen(sets, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-    first = pairs.join(sets.select(F.col("cls").alias("a"), "set"), "a")
+    first = sets.select(F.col("cls").alias("a"), "set").join(F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs, "a")
     both = first.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("other")), "b")
     return both.select("a", "b", "set", "other").mapInArrow(work, "a long, b long")
 
@@ -238,15 +240,44 @@ def label_of(df: DataFrame, labels: DataFrame | None, column: str, name: str) ->
     return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("_label")), column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
-def full_rows(index: DataFrame) -> DataFrame:
-    """token, cls, n, len, m and few of full classes at their tokens of many.
-
-    m is how many of a class's tokens another could have, as tokens of a prefix that aren't in the index are no
-    other class's; few is how many tokens of few classes its prefix has.
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and label after links more; only the labels they connect are worked on."""
+    if labels is None:
+        return components(links)
+    if not links.head(1):
+        return labels
+    ends = label_of(label_of(links, labels, "a", "_la"), labels, "b", "_lb")
+    fresh = components(ends.select(F.col("_la").alias("a"), F.col("_lb").alias("b")))
+    old = labels.select("node", F.col("label").alias("_was")).join(fresh.select(F.col("node").alias("_was"), F.col("label").alias("_now")), "_was", "left")
+    kept = old.select("node", F.coalesce("_now", "_was").alias("label"))
+    new = fresh.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return materialize(kept.unionByName(new), "labels")
+
+
+def full_rows(index: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, cls, n, pos and m of full classes at their tokens of many.
+
+    m is how many of a class's tokens another full class has, by counting all tokens of all full classes: no
+    more can be shared with one, so classes for which it is too little need not be compared at all.
     """
     full = index.filter("full")
-    own = full.groupBy("cls").agg((F.min("n") - F.min("len") + F.count("*")).alias("m"), F.count_if(F.col("df") <= CAP).alias("few"))
-    return full.filter(F.col("df") > CAP).join(own, "cls").select("token", "cls", "n", "len", "m", "few")
+    own = materialize(full.groupBy("cls").agg(F.min("n").alias("n")), "full-classes")
+
+    def work(batch):
+        # combined here already: a token, and the first and last of the batch's classes that have it
+        each = list(map(unpacked, batch.column("set").to_pylist()))
+        t = np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)
+        cls = np.repeat(batch.column("cls").to_numpy(), [e.size for e in each])
+        order = np.lexsort((cls, t))
+        t, at = np.unique(t[order], return_index=True)
+        ends = np.append(at[1:], order.size) - 1
+        return {"t": t, "low": cls[order][at], "high": cls[order][ends]}
+
+    rows = arrow_rows(chosen(sets, own.select("cls"), "cls"), lambda: work, "t long, low long, high long", "set", SLICE)
+    alone = rows.groupBy("t").agg(F.min("low").alias("cls"), F.max("high").alias("_high")).filter("cls = _high").groupBy("cls").agg(F.count("*").alias("u"))
+    useful = own.join(alone, "cls", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).filter(F.col("m") * OF >= F.col("n") * TIMES)
+    useful = materialize(useful.select("cls", "m"), "full-facts")
+    return full.filter((F.col("df") > CAP) & (F.col("pos") < base_prefix(F.col("n")))).select("token", "cls", "n", "pos").join(useful, "cls")
 
 
 def pivot_pairs(big: DataFrame, labels: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -254,26 +285,22 @@ def pivot_pairs(big: DataFrame, labels: DataFrame | None, pivots: int) -> tuple[
 
     A token is settled when its classes have one label.  Its pivots are the class with the smallest share of tokens of
     its own, which most copies are alike to, and those of the smallest hashes, about ``pivots`` of them; compared
-    with all others that have enough tokens in common with anything, they leave the token.
+    with all others, they leave the token.  A pair is only proposed where the token may be the first that both
+    have: if o tokens have to be shared, the first is among the n - o + 1 first of either class.
     """
     place = F.struct((1 - F.col("m") / F.col("n")).alias("own"), F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(1 << 40)).alias("h"))
     rows = materialize(label_of(big, labels, "cls", "label").withColumn("place", place), "big")
     stats = rows.groupBy("token").agg(F.count("*").alias("d"), F.min("place").alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1")
     stats = materialize(stats.select("token", "low", F.floor(F.lit(float(1 << 40)) * (pivots - 1) / F.col("d")).cast("long").alias("bar")), "tokens")
-    chosen_ = (F.col("place") == F.col("low")) | (F.col("place.h") < F.col("bar"))
-    facts = ["n", "len", "m", "few"]
-    open_ = materialize(rows.join(stats, "token").select("token", "cls", *facts, "label", chosen_.alias("pivot")), "open")
-    # a pivot of one token is compared at all its tokens, so that what a pair shares can be counted
-    pivot = chosen(open_.select("token", "cls", *facts, "label"), open_.filter("pivot").select("cls").distinct(), "cls")
-    p = pivot.select("token", *(F.col(c).alias(f"p_{c}") for c in ("cls", *facts, "label")))
-    may = (F.col("label") != F.col("p_label")) & (F.least("m", "p_m") >= enough(F.col("n"), F.col("p_n")))
-    met = open_.join(p, "token").filter(may & alike_in_size(F.col("n"), F.col("p_n")))
-    met = met.groupBy(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("cls") < F.col("p_cls")).alias("_s")).agg(F.count("*").alias("c"), *(F.min(x).alias(x) for f in facts for x in (f, f"p_{f}")))
-    shared = F.col("c") + F.least("few", "p_few")
-    reach = shared + F.greatest(F.col("n") - F.col("len"), F.col("p_n") - F.col("p_len"))
-    pairs = met.filter(reach >= enough(F.col("n"), F.col("p_n"))).select("a", "b").distinct()
-    left = open_.join(pivot.select("cls").distinct(), "cls", "left_anti")
-    return pairs, left.select("token", "cls", *facts)
+    taken = (F.col("place") == F.col("low")) | (F.col("place.h") < F.col("bar"))
+    facts = ["cls", "n", "pos", "m", "label"]
+    open_ = materialize(rows.join(stats, "token").select("token", *facts, taken.alias("pivot")), "open")
+    p = open_.filter("pivot").select("token", *(F.col(c).alias(f"p_{c}") for c in facts))
+    o = enough(F.col("n"), F.col("p_n"))
+    may = (F.col("label") != F.col("p_label")) & (F.least("m", "p_m") >= o) & (F.col("pos") <= F.col("n") - o) & (F.col("p_pos") <= F.col("p_n") - o)
+    pairs = open_.join(p, "token").filter(may & alike_in_size(F.col("n"), F.col("p_n")))
+    pairs = pairs.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
+    return pairs, open_.filter("not pivot").select("token", "cls", "n", "pos", "m")
 
 
 def join_documents(df: DataFrame) -> DataFrame:
@@ -301,18 +328,20 @@ def join_documents(df: DataFrame) -> DataFrame:
     release(spark, found, df_of, counted_index, choice)
     near = materialize(candidates(index), "candidates")
     release(spark)
-    big = materialize(full_rows(index), "full")
 
     first = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     first = materialize(first, "classes")
-    used = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).union(big.select("cls")).distinct()
+    used = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).union(index.filter("full").select("cls")).distinct()
     sets = materialize(token_sets(docs, first.join(used, "cls")), "sets")
 
+    big = materialize(full_rows(index, sets), "full")
+    release(spark)
+
     # each class's partner of most shared tokens and its smallest one connect most of what is alike
     ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "c"))
     best = ends.groupBy("x").agg(F.max(F.struct("c", "y")).alias("m"), F.min("y").alias("s"))
     best = best.select("x", F.explode(F.array(F.col("m.y"), F.col("s"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pivots, labels, links, rest = 4, None, None, near
+    pivots, labels, rest = 2, None, near
     while True:
         pairs, big = pivot_pairs(big, labels, pivots)
         pairs = promising(materialize(pairs, "pivot-pairs"), index)
@@ -321,10 +350,8 @@ def join_documents(df: DataFrame) -> DataFrame:
         elif rest is not None:
             both = label_of(label_of(rest, labels, "a", "_la"), labels, "b", "_lb").filter("_la != _lb").select("a", "b")
             pairs, rest = pairs.union(both), None
-        new = materialize(verified(pairs, sets), "links")
-        links = new if links is None else links.union(new)
-        if labels is None or new.head(1):
-            labels = components(links)
+        links = materialize(verified(pairs, sets), "links")
+        labels = merged(labels, links)
         release(spark)
         pivots *= 8
         if rest is None and not big.head(1):
