@@ -196,10 +196,15 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_rows(chosen(docs, wanted.select("doc_id", "cls"), "doc_id"), lambda: work, "cls long, set binary")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The classes in pairs, once each; either side is made distinct before they are put together."""
+    return pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select(F.col("b").alias("cls")).distinct()).distinct()
+
+
 def promising(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """The pairs (a, b) that share enough tokens of their prefixes to be similar enough."""
     own = index.groupBy("cls").agg(F.collect_set("token").alias("tokens"), F.min("n").alias("n"), F.min("l").alias("l"), F.min("len").alias("len"))
-    own = chosen(own, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    own = chosen(own, ends_of(pairs), "cls")
     x, y = (own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)) for s in "ab")
     both = pairs.join(x, F.col("a") == F.col("cls_a")).join(y, F.col("b") == F.col("cls_b"))
     c = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -227,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    sets = chosen(sets, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    sets = chosen(sets, ends_of(pairs), "cls")
     first = sets.select(F.col("cls").alias("a"), "set").join(F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs, "a")
     both = first.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("other")), "b")
     return both.select("a", "b", "set", "other").mapInArrow(work, "a long, b long")
