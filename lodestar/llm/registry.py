@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spans import dedup_spans
 
-    return dedup_spans(table(spark, sf_dir, "documents"))
+    return dedup_spans(table(spark, sf_dir, "documents"), both_ends=True)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Method: each text is cut into sentences, at ends of sentences, lines and clauses
 is long, at places that its own words decide, so that a repeated passage is cut alike wherever it stands.  From every
 sentence a span runs over the following ones until it has MIN_SENTENCES sentences and MIN_WORDS words; its
 hash is counted over all documents, the first occurrence (by doc_id and position) is kept, and
-every sentence that a non-first occurrence covers is removed.
+every sentence that a non-first occurrence covers is removed.  With ``both_ends``, as the query has it, the
+shortest such spans that end at each sentence are hashed too.  Then every sentence of a repeated run long enough for a span
+is covered: by the shortest span from it, or, where the run's rest is too short for one, by the one that ends with the run.
 
 Counting combines on the map side, and only repeated spans are joined back, by a join that may
 split a hot hash; a passage in a third of all documents is thus a sum, not a group.
@@ -28,10 +30,27 @@ from .common import arrow_rows, materialize, texts
 MIN_SENTENCES, MIN_WORDS = 3, 20
 #: A sentence of so many words is cut after words whose hash says so.
 LONG_SENTENCE = 12
+#: A fragment has at most so many words: where no hash says so, the least hash of so many words in a row does.
+LONGEST = 16
 _END = re.compile(r"(?<=[.!?;:,])\s+|\n+|(?<=[。！？])")
 _SPACE = re.compile(r"\s+")
 
 
+def cut_after(hashes: list[int]) -> list[bool]:
+    """After which words of a long sentence it is cut; between two cuts are at most LONGEST words."""
+    out = [h % 5 == 0 for h in hashes]
+    out[-1] = True
+    start = 0
+    for end in [i + 1 for i, c in enumerate(out) if c]:
+        if end - start > LONGEST:
+            runs = np.lib.stride_tricks.sliding_window_view(np.array(hashes[start:end], np.uint64), LONGEST)
+            last_least = LONGEST - 1 - runs[:, ::-1].argmin(1)
+            for i in set((start + np.arange(len(runs)) + last_least).tolist()):
+                out[i] = True
+        start = end
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each sentence with words, in code points, without the white space around it."""
     from xxhash import xxh3_64_intdigest
@@ -47,23 +66,28 @@ def sentences(text: str) -> list[tuple[int, int, int, int]]:
         else:
             start = i = at
             run: list[str] = []
-            for n, word in enumerate(words):
+            for word, ends in zip(words, cut_after([xxh3_64_intdigest(w.lower()) for w in words])):
                 i = text.index(word, i) + len(word)
                 run.append(word)
-                if n == len(words) - 1 or xxh3_64_intdigest(word.lower()) % 5 == 0:
+                if ends:
                     out.append((start, i, len(run), xxh3_64_intdigest(" ".join(run).lower())))
                     start, run = i, []
         at = following
     return out
 
 
-def spans(cut: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, number of sentences and hash of the span from each sentence from which there is one."""
+def spans(cut: list[tuple[int, int, int, int]], both_ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and hash of the shortest span from each sentence, and to each, ordered by place."""
     n = len(cut)
     words = np.concatenate([[0], np.cumsum([c[2] for c in cut], dtype=np.int64)])
     first = np.arange(n)
     last = np.maximum(first + MIN_SENTENCES, np.searchsorted(words, words[:-1] + MIN_WORDS))
     first, last = first[last <= n], last[last <= n]
+    if both_ends:
+        end = np.arange(1, n + 1)
+        start = np.minimum(end - MIN_SENTENCES, np.searchsorted(words, words[1:] - MIN_WORDS, "right") - 1)
+        places = np.unique(np.concatenate([first * (n + 1) + last, (start * (n + 1) + end)[start >= 0]]))
+        first, last = places // (n + 1), places % (n + 1)
     if not first.size:
         return first, first, first
     with np.errstate(over="ignore"):
@@ -78,31 +102,31 @@ def spans(cut: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray,
     return first, last - first, h.view(np.int64)
 
 
-def span_rows(docs: DataFrame) -> DataFrame:
+def span_rows(docs: DataFrame, both_ends: bool = False) -> DataFrame:
     """h and doc_id of the different spans of every document."""
 
     def work(batch):
         ids, hs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            h = np.unique(spans(sentences(text))[2])
+            h = np.unique(spans(sentences(text), both_ends)[2])
             ids.append(np.full(h.size, doc, np.int64)), hs.append(h)
         return {"h": np.concatenate(hs), "doc_id": np.concatenate(ids)}
 
     return arrow_rows(docs, lambda: work, "h long, doc_id long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, both_ends: bool = False) -> DataFrame:
     """h, doc_id and origin (the first document with it) of the spans that an earlier document holds."""
-    rows = materialize(span_rows(docs.filter("doc_id IS NOT NULL")), "spans")
+    rows = materialize(span_rows(docs.filter("doc_id IS NOT NULL"), both_ends), "spans")
     common = rows.groupBy("h").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("_last")).filter("origin < _last")
     common = materialize(common.select("h", "origin"), "span-origins")
     return rows.join(common, "h").filter("doc_id > origin")
 
 
-def covered(cut: list[tuple[int, int, int, int]], earlier: set[int]) -> list[bool]:
+def covered(cut: list[tuple[int, int, int, int]], earlier: set[int], both_ends: bool = False) -> list[bool]:
     """Which sentences lie in a span of an earlier document, or in one that the document has had before."""
     gone, had = [False] * len(cut), set()
-    for first, n, h in zip(*(x.tolist() for x in spans(cut))):
+    for first, n, h in zip(*(x.tolist() for x in spans(cut, both_ends))):
         if h in earlier or h in had:
             gone[first : first + n] = [True] * n
         had.add(h)
@@ -119,10 +143,10 @@ def without(text: str, cut: list[tuple[int, int, int, int]], gone: list[bool]) -
     return "".join([*out, text[at:]]) if out else text
 
 
-def dedup_spans(df: DataFrame) -> DataFrame:
+def dedup_spans(df: DataFrame, both_ends: bool = False) -> DataFrame:
     """doc_id, text without repeated passages, n_sentences, n_removed, removed_chars and the documents they were first in."""
     docs = texts(df)
-    later = repeated_spans(docs)
+    later = repeated_spans(docs, both_ends)
     known = later.groupBy("doc_id").agg(F.collect_set("h").alias("earlier"), F.sort_array(F.collect_set("origin")).alias("first_in"))
 
     def work(batch):
@@ -130,7 +154,7 @@ def dedup_spans(df: DataFrame) -> DataFrame:
         out: dict[str, list] = {k: [] for k in names}
         for doc, text, drop, first_in in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "earlier", "first_in"))):
             cut = sentences(text)
-            flags = covered(cut, set(drop or ()))
+            flags = covered(cut, set(drop or ()), both_ends)
             kept = without(text, cut, flags)
             for k, v in zip(names, (doc, kept, len(cut), sum(flags), len(text) - len(kept), first_in or [])):
                 out[k].append(v)

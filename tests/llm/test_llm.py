@@ -104,6 +104,34 @@ def test_spans_catch_a_planted_passage_wherever_it_stands(spark):
     assert all(got[i].removed_chars > len(passage) * 0.4 and got[i].first_in == [0] for i in range(1, 6))
 
 
+def test_span_query_removes_every_repeated_run_whole(spark, known, tmp_path):
+    line = lambda c, n: " ".join(f"{c}{i}x" for i in range(n)) + "."
+    passage = " ".join(line(c, n) for c, n in zip("abcde", (10, 10, 10, 1, 1)))
+    spark.createDataFrame([(1, f"{passage} {line('p', 9)}"), (2, f"{line('q', 9)} {passage} {line('r', 9)}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 5 and got[2].text == f"{line('q', 9)} {line('r', 9)}"
+    # every sentence of a run that an earlier document holds goes, by all runs of all lengths
+    had: set = set()
+    rows = {r.doc_id: r for r in registry.op1_substring_dedup(spark, str(DATA)).collect()}
+    for i, t in sorted(known.items()):
+        cut = spans.sentences(t)
+        own = [" ".join(t[a:b].split()).lower() for a, b, _, _ in cut]
+        runs = [(f, e) for f in range(len(cut)) for e in range(f + spans.MIN_SENTENCES, min(f + 25, len(cut)) + 1) if sum(c[2] for c in cut[f:e]) >= spans.MIN_WORDS]
+        gone = {s for f, e in runs if tuple(own[f:e]) in had for s in range(f, e)}
+        assert rows[i].n_removed >= len(gone)
+        had |= {tuple(own[f:e]) for f, e in runs}
+
+
+def test_no_fragment_of_a_long_sentence_is_unbounded():
+    from xxhash import xxh3_64_intdigest
+
+    fused = [w for w in (f"w{i}" for i in range(4000)) if xxh3_64_intdigest(w) % 5]
+    cut = spans.sentences(" ".join(fused[:2000]))
+    assert max(c[2] for c in cut) <= spans.LONGEST and sum(c[2] for c in cut) == 2000
+    inner = {c[3] for c in spans.sentences(" ".join(fused[2000:2500] + fused[:200]))}
+    assert len(inner & {c[3] for c in cut}) >= 15
+
+
 # 2 n-gram Jaccard join
 
 
