@@ -53,7 +53,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import document_fingerprints
 
-    return document_fingerprints(table(spark, sf_dir, "documents"))
+    return document_fingerprints(table(spark, sf_dir, "documents"), stand_ins=True)
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

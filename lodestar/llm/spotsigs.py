@@ -2,7 +2,9 @@
 
 Method: a text is lower-cased and cut into runs of letters and digits.  Every common word is an anchor; the first
 CHAIN content words among the SPAN words after it form, with it, one signature.  The beginning of the text is
-an anchor too, so that texts without common words have a signature.  A fingerprint is the set of
+an anchor too, so that texts without common words have a signature.  With ``stand_ins``, as the query has it, a word is an anchor
+itself where neither it nor one of the SPAN words before it is common, so that all of a text without common words,
+and of such a stretch, is in the fingerprint.  A fingerprint is the set of
 signature hashes, written out as sorted hexadecimal numbers.
 
 Near duplicates: sets are partitioned by their length, into ranges so wide that only sets of the same or
@@ -36,7 +38,7 @@ CHAIN, SPAN = 2, 6
 RANGES = 4096
 
 
-def signatures(text: Column) -> Column:
+def signatures(text: Column, stand_ins: bool = False) -> Column:
     """The sorted set of a text's signature hashes, of 32 bits each."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     content = lambda w: ~w.isin(ANCHORS)
@@ -44,8 +46,15 @@ def signatures(text: Column) -> Column:
 
     short = lambda *parts: F.xxhash64(*parts).bitwiseAND(F.lit(0xFFFFFFFF))
 
+    def spots_of(ws: Column) -> Column:
+        if not stand_ins:
+            return F.transform(ws, lambda w, i: F.when(w.isin(ANCHORS), short(w, chain(ws, i + 2))))
+        reach = lambda common, i: F.slice(common, F.greatest(F.lit(1), i + 1 - SPAN), F.least(F.lit(SPAN), i) + 1)
+        marked = lambda common: F.transform(ws, lambda w, i: F.when(F.get(common, i) | ~F.array_contains(reach(common, i), True), short(w, chain(ws, i + 2))))
+        return F.transform(F.array(F.transform(ws, lambda w: w.isin(ANCHORS))), marked)[0]
+
     def of(ws: Column) -> Column:
-        spots = F.transform(ws, lambda w, i: F.when(w.isin(ANCHORS), short(w, chain(ws, i + 2))))
+        spots = spots_of(ws)
         start = F.when(F.size(ws) > 0, F.array(short(F.lit(""), chain(ws, F.lit(1))))).otherwise(F.array().cast("array<bigint>"))
         return F.array_sort(F.array_distinct(F.concat(start, F.array_compact(spots))))
 
@@ -93,12 +102,12 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - third), F.substring(following, F.lit(1), third))
 
 
-def document_fingerprints(df: DataFrame) -> DataFrame:
+def document_fingerprints(df: DataFrame, stand_ins: bool = False) -> DataFrame:
     """Fingerprints of each text and of its edited text, and likenesses to the edited and to the next text."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    own = docs.withColumn("sigs", signatures(F.col("text")))
+    own = docs.withColumn("sigs", signatures(F.col("text"), stand_ins))
     pairs = with_next(own, "text", "sigs").withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    done = pairs.withColumn("edited_sigs", signatures(F.col("edited")))
+    done = pairs.withColumn("edited_sigs", signatures(F.col("edited"), stand_ins))
     return done.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -361,6 +361,23 @@ def test_fingerprints_defined_results(odd, spark):
     assert one.near_next == 1.0
 
 
+def test_fingerprint_query_takes_in_texts_without_common_words(spark, known, tmp_path):
+    import re
+
+    def brute(text):
+        ws = [w for w in re.split(r"[^\w]|_", text.lower()) if w]
+        alone = {i for i in range(len(ws)) if not set(ws[max(0, i - spotsigs.SPAN) : i + 1]) & set(spotsigs.ANCHORS)}
+        return brute_signatures(text) | {(ws[i], tuple([x for x in ws[i + 1 : i + 1 + spotsigs.SPAN] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN])) for i in alone}
+
+    rows = registry.op7_document_fingerprints(spark, str(DATA)).collect()
+    assert all(len(r.fingerprint) == 8 * len(brute(known[r.doc_id])) for r in rows) and len(rows) == len(known)
+    names = " ".join(f"name{i}" for i in range(60))
+    texts = [names, names.replace("name59", "other"), "red green blue", "red green pink"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op7_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 4 and 0.8 < got[1].near_next < 1 and got[0].near_edited < 0.8
+
+
 def test_spotsig_pairs_equal_all_pairs(docs, known):
     cls = {}
     for i, t in sorted(known.items()):
