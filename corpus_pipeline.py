@@ -37,9 +37,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once."""
-    kept = join_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return as_documents(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near copies the row with the smallest doc_id stays, once.
+
+    Rows are compared, not doc_ids: different texts under one doc_id are each a row of their own, and of several in a
+    group the one whose text comes first by hash stays; a row without a doc_id stays unless a group of near copies has
+    another one, with a doc_id first.  Blank texts are copies of nothing; only equal ones under one doc_id are one.
+    """
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = join_documents(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
+    own = rows.select("row", "doc_id", F.xxhash64("text").alias("h"))
+    blank = F.col("n_shingles") == 0
+    group = F.when(blank & F.col("doc_id").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("doc_id").alias("a"), F.col("h").alias("b")))
+    group = group.otherwise(F.struct(F.lit(0).alias("kind"), F.col("component_id").alias("a"), F.lit(0).cast("long").alias("b")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h", "row"))
+    kept = own.join(found, "row").groupBy(group.alias("g")).agg(first.alias("m")).select(F.col("m.row").alias("row"))
+    return as_documents(rows.join(kept, "row", "left_semi"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

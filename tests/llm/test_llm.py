@@ -516,6 +516,16 @@ def test_bpe_query_digests(docs, known):
 # pipeline
 
 
+def test_near_copies_go_by_rows(spark):
+    import corpus_pipeline
+
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("a")), (3, text("c") + " end"), (None, text("d")), (4, ""), (4, ""), (5, " "), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert got == Counter([(1, text("a")), (2, text("b")), (3, text("c") + " end"), (None, text("d")), (4, ""), (5, " "), (None, ""), (None, "")])
+
+
 def test_pipeline_stages_follow_brute_force(spark, docs, known):
     import corpus_pipeline
 
