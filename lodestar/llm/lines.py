@@ -5,11 +5,12 @@ minimal perfect hash (levels of bit arrays; a key belongs to the first level whe
 took its place, and its index is the rank of that bit) that indexes compact arrays of
 fingerprints, document counts and holders, the largest doc_id with the line.  Documents send
 the hashes of their lines to the shards and probe the arrays there; lines themselves are
-never joined.  The few most common lines, at most HOT_LINES however large the corpus is, are
-answered from a broadcast table, so that no shard gets a common line's rows.
+never joined.  A shard's arrays come before its probes, which stream past them, so a task holds one shard and one batch.
+The few most common lines, at most HOT_LINES however large the corpus is, are a shard of their own that is broadcast
+and probed where the documents are, so that no task gets a common line's rows.
 
 Defined results: a null or empty text is one empty line; repeated rows of a doc_id count as one
-document, and each is cleaned; ties can't occur, as the largest doc_id keeps the line; very long
+document, and each is cleaned (of a line they share with no other document, none goes); ties can't occur, as the largest doc_id keeps the line; very long
 texts are split whole; rows without a doc_id stay as they are and don't count; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -105,34 +106,78 @@ class PerfectHash:
         return cls(levels, np.frombuffer(spare, "<i8"))
 
 
-SHARD = "shard long, sizes array<int>, bits binary, spare binary, fingerprints binary, counts binary, holders binary"
+class Shard:
+    """A minimal perfect hash of distinct lines, and the arrays it indexes."""
 
+    def __init__(self, hashed: PerfectHash, fingerprints: np.ndarray, counts: np.ndarray, holders: np.ndarray):
+        self.hashed, self.fingerprints, self.counts, self.holders = hashed, fingerprints, counts, holders
 
-def build_shard(table: pa.Table) -> pa.Table:
-    """The hash and the arrays of one shard's lines (shard, h, fp, n, holder)."""
-    h, fp, n, holder = (table.column(k).to_numpy() for k in ("h", "fp", "n", "holder"))
-    once, first = np.unique(h, return_index=True)
-    hashed = PerfectHash.build(once)
-    if once.size < h.size:  # two lines with one 64-bit hash: the rest are found by search, hash by hash
-        first = np.array([k[np.argmax(n[k])] for k in (np.flatnonzero(h == x) for x in once)])
-    order = np.empty_like(first)
-    order[hashed.index(once)] = first
-    sizes, bits, spare = hashed.pack()
-    row = {"shard": [table.column("shard")[0].as_py()], "sizes": [sizes], "bits": [bits], "spare": [spare], "fingerprints": [fp[order].astype("<i4").tobytes()], "counts": [np.minimum(n[order], 2**32 - 1).astype("<u4").tobytes()], "holders": [holder[order].astype("<i8").tobytes()]}
+    @classmethod
+    def build(cls, table: pa.Table) -> Shard:
+        """Of lines: h, fp, n and holder."""
+        h, fp, n, holder = (table.column(k).to_numpy() for k in ("h", "fp", "n", "holder"))
+        once, first = np.unique(h, return_index=True)
+        hashed = PerfectHash.build(once)
+        if once.size < h.size:  # two lines with one 64-bit hash: the more common one stays
+            best = np.lexsort((-n, h))
+            first = best[np.unique(h[best], return_index=True)[1]]
+        order = np.empty_like(first)
+        order[hashed.index(once)] = first
+        return cls(hashed, fp[order].astype("<i4"), np.minimum(n[order], 2**32 - 1).astype("<u4"), holder[order].astype("<i8"))
+
+    def drops(self, h: np.ndarray, fp: np.ndarray, doc: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which probes' lines are in min_docs documents, of which another one keeps them."""
+        if not self.counts.size:
+            return np.zeros(h.size, bool)
+        at = self.hashed.index(h)
+        return (at >= 0) & (self.fingerprints[at] == fp) & (self.counts[at] >= min_docs) & (self.holders[at] != doc)
+
+    def pack(self) -> dict:
+        sizes, bits, spare = self.hashed.pack()
+        return {"sizes": sizes, "bits": bits, "spare": spare, "fingerprints": self.fingerprints.tobytes(), "counts": self.counts.tobytes(), "holders": self.holders.tobytes()}
+
+    @classmethod
+    def unpack(cls, row: dict) -> Shard:
+        return cls(PerfectHash.unpack(row["sizes"], row["bits"], row["spare"]), np.frombuffer(row["fingerprints"], "<i4"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["holders"], "<i8"))
+
+
+PACKED = "sizes array<int>, bits binary, spare binary, fingerprints binary, counts binary, holders binary"
+
+
+def packed_shard(table: pa.Table) -> pa.Table:
+    """One shard's lines as a row of its hash and arrays."""
+    row = {"shard": table.column("shard")[0].as_py()} | Shard.build(table).pack()
     kinds = {"shard": pa.int64(), "sizes": pa.list_(pa.int32())}
-    return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in row.items()})
+    return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+
 
+def probed(probes: DataFrame, arrays: DataFrame, min_docs: int) -> DataFrame:
+    """doc_id and h of the probes (shard, h, fp, doc_id) whose line the shard's arrays say is to be dropped from that document.
 
-def probe_shard(probes: pa.Table, shard: pa.Table, min_docs: int) -> pa.Table:
-    """The probes (h, fp, doc_id) whose line the shard's arrays say is to be dropped from that document."""
-    h, fp, doc = (probes.column(k).to_numpy() for k in ("h", "fp", "doc_id"))
-    drop = np.zeros(h.size, bool)
-    if h.size and shard.num_rows:
-        s = shard.to_pylist()[0]
-        at = PerfectHash.unpack(s["sizes"], s["bits"], s["spare"]).index(h)
-        fps, counts, holders = np.frombuffer(s["fingerprints"], "<i4"), np.frombuffer(s["counts"], "<u4"), np.frombuffer(s["holders"], "<i8")
-        drop = (at >= 0) & (fps[at] == fp) & (counts[at] >= min_docs) & (holders[at] != doc)
-    return pa.table({"doc_id": doc[drop], "h": h[drop]})
+    Both kinds of rows are dealt by shard and sorted, a shard's arrays first.  A task reads batch after batch and
+    holds one shard's arrays at a time, however many probes there are.
+    """
+    both = probes.withColumn("late", F.lit(1)).unionByName(arrays.withColumn("late", F.lit(0)), allowMissingColumns=True)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            shard, late = (batch.column(k).to_numpy() for k in ("shard", "late"))
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (late[1:] != late[:-1])) + 1
+            docs, hs = [], []
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == end:
+                    continue
+                if not late[start]:
+                    now, held = shard[start], Shard.unpack(batch.slice(start, 1).to_pylist()[0])
+                elif shard[start] == now:
+                    h, fp, doc = (batch.column(k).slice(start, end - start).to_numpy(zero_copy_only=False) for k in ("h", "fp", "doc_id"))
+                    gone = held.drops(h.astype(np.int64), fp.astype(np.int32), doc.astype(np.int64), min_docs)
+                    docs.append(doc[gone]), hs.append(h[gone])
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (docs, hs)], names=["doc_id", "h"])
+
+    return both.repartition("shard").sortWithinPartitions("shard", "late").mapInArrow(work, "doc_id long, h long")
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -156,33 +201,38 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, carry: tu
     rows = probes.count()
     lines = materialize(probes.groupBy("h", "fp").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")), "line-counts")
     hot_docs = max(HOT_DOCS, -(-rows // HOT_LINES))  # so that rows / hot_docs, the most there can be, is bounded
-    hot = {(r["h"], r["fp"]): r["holder"] for r in lines.filter(F.col("n") >= hot_docs).collect()}
+    hot = Shard.build(lines.filter(F.col("n") >= hot_docs).toArrow())
     shards = max(1, -(-rows // SHARD_ROWS))
     shard = F.pmod(F.shiftright("h", 20), F.lit(shards)).alias("shard")
-    arrays = materialize(lines.select(shard, "h", "fp", "n", "holder").groupBy("shard").applyInArrow(build_shard, SHARD), "line-shards")
-    held = df.sparkSession.sparkContext.broadcast(hot)
+    arrays = materialize(lines.select(shard, "h", "fp", "n", "holder").groupBy("shard").applyInArrow(packed_shard, f"shard long, {PACKED}"), "line-shards")
+    common = df.sparkSession.sparkContext.broadcast(hot.pack() | {"hashes": np.sort(lines.filter(F.col("n") >= hot_docs).select("h").toArrow().column("h").to_numpy())})
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.array(sorted({h for h, _ in held.value}), np.int64)
         for batch in batches:
-            yield batch.filter(pa.array(~np.isin(batch.column("h").to_numpy(), common)))
+            yield batch.filter(pa.array(~np.isin(batch.column("h").to_numpy(), common.value["hashes"])))
 
-    sent = (probes.mapInArrow(cold, "doc_id long, h long, fp int") if hot else probes).select(shard, "h", "fp", "doc_id")
-    found = sent.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(lambda p, s: probe_shard(p, s, min_docs), "doc_id long, h long")
-    by_doc = found.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
+    sent = (probes.mapInArrow(cold, "doc_id long, h long, fp int") if hot.counts.size else probes).select(shard, "h", "fp", "doc_id")
+    by_doc = probed(sent, arrays, min_docs).groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
     def strip():
-        common = held.value
+        hot = Shard.unpack(common.value)
 
         def work(batch):
+            ids, drops = batch.column("doc_id").to_pylist(), batch.column("drop").to_pylist()
+            cut = [t.split("\n") for t in batch.column("text").to_pylist()]
+            at = [line_hashes(x, min_chars) if doc is not None and (drop or hot.counts.size) else line_hashes([], min_chars) for x, doc, drop in zip(cut, ids, drops)]
+            sizes = [h.size for _, h, _ in at]
+            h, fp = (np.concatenate([np.empty(0, t), *(x[k] for x in at)]) for k, t in ((1, np.int64), (2, np.int32)))
+            late = hot.drops(h, fp, np.repeat(np.array([d or 0 for d in ids], np.int64), sizes), min_docs)
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_lines", "n_dropped", "kept")}
-            for doc, text, drop in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "drop"))):
-                lines, gone = text.split("\n"), set()
-                if doc is not None and (drop or common):
-                    drop = set(drop or ())
-                    at, h, fp = line_hashes(lines, min_chars)
-                    gone = {i for i, x, f in zip(at.tolist(), h.tolist(), fp.tolist()) if x in drop or common.get((x, f), doc) != doc}
-                for k, v in zip(out, (doc, len(lines), len(gone), "\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)):
+            end = 0
+            for doc, lines, drop, (places, own, _) in zip(ids, cut, drops, at):
+                start, end = end, end + own.size
+                gone = set(places[late[start:end]].tolist())
+                if drop:
+                    gone.update(places[np.isin(own, np.array(drop, np.int64))].tolist())
+                kept = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
+                for k, v in zip(out, (doc, len(lines), len(gone), "\n".join(kept))):
                     out[k].append(v)
             return out | {k: batch.column(k) for k in carry}
 
