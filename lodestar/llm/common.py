@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,16 +17,19 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 
 _own_dir: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests, a laptop) a temporary folder is used.
+    Only a local master (tests, a laptop), whose executor is the driver, may do without; it then has a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="lodestar-")
     return "file://" + _own_dir["dir"]
@@ -33,26 +38,45 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
-    This cuts lineage with a copy that outlives any executor.
+    This cuts lineage with a copy that outlives any executor.  Results are read from such tables long after an operator
+    has returned, so those that aren't released go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
+    if not _written:
+        atexit.register(_release_all)
+    _written[path] = spark
     return table
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs.
-
-    Spark drops those once their plans are garbage, which a driver with much memory may not notice for long.
-    """
+def _deleted(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.pop(path, None)
+
+
+def _release_all() -> None:
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the session may be over, and its JVM gone
+            _deleted(spark, path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
     for table in tables:
-        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+        _deleted(table.sparkSession, table._written_to)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs.
+
+    Spark drops them once their plans are garbage, which a driver with much memory may not notice for long.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts(df: DataFrame, *keep: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("via"))
+        low = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("via"))
         far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         after = materialize(low.join(far, "via").select("node", "was", F.least("via", "far").alias("label")), "labels")
+        release(labels)
         if not after.filter("label != was").head(1):
+            release(both)
             return after.select("node", "label")
-        labels = after.select("node", "label")
+        labels = after

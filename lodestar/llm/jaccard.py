@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, release, slices, texts
+from .common import arrow_rows, drop_shuffles, materialize, release, slices, texts
 from .components import components
 
 #: The similarity is at least TIMES / OF.
@@ -317,22 +317,24 @@ def join_documents(df: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n")).first()[0] or 0
     bar = max(COMMON_LEAST, total // COMMON)
     frequent = counted.filter("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= bar)
-    common = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in frequent.select("token").collect()], np.int64).view(np.uint64)))
+    common = spark.sparkContext.broadcast(np.sort(frequent.select("token").toArrow().column("token").to_numpy().view(np.uint64)))
 
     prefix = prefixes(docs, common)
     several = prefix.groupBy("token").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high")).filter("_low != _high").select("token")
     several = materialize(several, "tokens")
-    release(spark)
+    drop_shuffles(spark)
     found = prefix.join(several, "token").distinct()
     found = materialize(found.select("token", "cls", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")), "postings")
     df_of = materialize(found.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
-    release(spark, several)
+    drop_shuffles(spark)
+    release(several)
     counted_index = materialize(found.join(df_of, "token"), "frequent-postings")
     choice = materialize(adapted(counted_index), "prefixes")
     index = materialize(counted_index.join(choice, "cls").filter("pos < len"), "index")
-    release(spark, found, df_of, counted_index, choice)
+    drop_shuffles(spark)
+    release(found, df_of, counted_index, choice)
     near = materialize(candidates(index), "candidates")
-    release(spark)
+    drop_shuffles(spark)
 
     first = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     first = materialize(first, "classes")
@@ -340,7 +342,7 @@ def join_documents(df: DataFrame) -> DataFrame:
     sets = materialize(token_sets(docs, first.join(used, "cls")), "sets")
 
     big = materialize(full_rows(index, sets), "full")
-    release(spark)
+    drop_shuffles(spark)
 
     # each class's partner of most shared tokens and its smallest one connect most of what is alike
     ends = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "c"))
@@ -357,7 +359,7 @@ def join_documents(df: DataFrame) -> DataFrame:
             pairs, rest = pairs.union(both), None
         links = materialize(verified(pairs, sets), "links")
         labels = merged(labels, links)
-        release(spark)
+        drop_shuffles(spark)
         pivots *= 8
         if rest is None and not big.head(1):
             break
