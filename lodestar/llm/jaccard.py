@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, drop_shuffles, materialize, release, slices, texts
@@ -38,6 +38,8 @@ CAP = 32
 SLICE, SLICE_LEAST = 8_000_000, 2
 #: A common token is in at least so many documents, and in so many that COMMON is the most there can be.
 COMMON_LEAST, COMMON = 32, 2_000_000
+#: So many tokens before one go with it, so that a pair isn't proposed again by the tokens it shares further on.
+EARLIER = 8
 #: Keys that are broadcast to choose rows by; more of them are joined by shuffle.
 BROADCAST = 500_000
 
@@ -260,7 +262,7 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def full_rows(index: DataFrame, sets: DataFrame) -> DataFrame:
-    """token, cls, n, pos and m of full classes at their tokens of many.
+    """token, cls, n, pos, m and the EARLIER tokens before it, of full classes at their tokens of many.
 
     m is how many of a class's tokens another full class has, by counting all tokens of all full classes: no
     more can be shared with one, so classes for which it is too little need not be compared at all.
@@ -282,7 +284,9 @@ def full_rows(index: DataFrame, sets: DataFrame) -> DataFrame:
     alone = rows.groupBy("t").agg(F.min("low").alias("cls"), F.max("high").alias("_high")).filter("cls = _high").groupBy("cls").agg(F.count("*").alias("u"))
     useful = own.join(alone, "cls", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).filter(F.col("m") * OF >= F.col("n") * TIMES)
     useful = materialize(useful.select("cls", "m"), "full-facts")
-    return full.filter((F.col("df") > CAP) & (F.col("pos") < base_prefix(F.col("n")))).select("token", "cls", "n", "pos").join(useful, "cls")
+    before = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-EARLIER, -1)).alias("before")
+    many = full.filter((F.col("df") > CAP) & (F.col("pos") < base_prefix(F.col("n"))))
+    return many.select("token", "cls", "n", "pos", before).join(useful, "cls")
 
 
 def pivot_pairs(big: DataFrame, labels: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -291,21 +295,23 @@ def pivot_pairs(big: DataFrame, labels: DataFrame | None, pivots: int) -> tuple[
     A token is settled when its classes have one label.  Its pivots are the class with the smallest share of tokens of
     its own, which most copies are alike to, and those of the smallest hashes, about ``pivots`` of them; compared
     with all others, they leave the token.  A pair is only proposed where the token may be the first that both
-    have: if o tokens have to be shared, the first is among the n - o + 1 first of either class.
+    have: if o tokens have to be shared, the first is among the n - o + 1 first of either class, and no token before it
+    is shared.  Two pivots meet once.
     """
     place = F.struct((1 - F.col("m") / F.col("n")).alias("own"), F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(1 << 40)).alias("h"))
     rows = materialize(label_of(big, labels, "cls", "label").withColumn("place", place), "big")
     stats = rows.groupBy("token").agg(F.count("*").alias("d"), F.min("place").alias("low"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1")
     stats = materialize(stats.select("token", "low", F.floor(F.lit(float(1 << 40)) * (pivots - 1) / F.col("d")).cast("long").alias("bar")), "tokens")
     taken = (F.col("place") == F.col("low")) | (F.col("place.h") < F.col("bar"))
-    facts = ["cls", "n", "pos", "m", "label"]
+    facts = ["cls", "n", "pos", "m", "label", "before"]
     open_ = materialize(rows.join(stats, "token").select("token", *facts, taken.alias("pivot")), "open")
     p = open_.filter("pivot").select("token", *(F.col(c).alias(f"p_{c}") for c in facts))
     o = enough(F.col("n"), F.col("p_n"))
     may = (F.col("label") != F.col("p_label")) & (F.least("m", "p_m") >= o) & (F.col("pos") <= F.col("n") - o) & (F.col("p_pos") <= F.col("p_n") - o)
+    may &= (~F.col("pivot") | (F.col("cls") < F.col("p_cls"))) & ~F.arrays_overlap("before", "p_before")
     pairs = open_.join(p, "token").filter(may & alike_in_size(F.col("n"), F.col("p_n")))
     pairs = pairs.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
-    return pairs, open_.filter("not pivot").select("token", "cls", "n", "pos", "m")
+    return pairs, open_.filter("not pivot").select("token", "cls", "n", "pos", "m", "before")
 
 
 def join_documents(df: DataFrame) -> DataFrame:
