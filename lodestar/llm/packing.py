@@ -2,15 +2,16 @@
 
 Method: everything is decided on the histogram of piece lengths, at most ``capacity`` numbers
 however large the corpus is.  For each length, longest first, the gap it leaves is looked up
-among the available single lengths, then pair sums, then triple sums, and the combination
-that fills the gap exactly is consumed as often as the availability counts allow.  What has no
+in an index of the sums of the available single lengths, pairs and triples, and the combination
+that fills the gap exactly is consumed as often as the availability counts allow.  Counts only fall, so a combination
+that is used up leaves the index for good.  What has no
 exact complement goes best-fit decreasing, run by run of equal lengths.  The plan is a list of
 patterns with multiplicities; pieces take their places in it by their rank among the pieces
 of the same length, which is counted in buckets, so that no length is ranked in one task.
 
 Defined results: a null text is the empty text, one piece holding the end mark alone;
-documents longer than the capacity are cut into full pieces and a rest; repeated rows are
-packed one by one; other columns are ignored; an empty table gives an empty result.
+documents longer than the capacity, however long, are cut into full pieces and a rest; repeated rows and
+rows without a doc_id are packed one by one, and ties among equal pieces fall by the order of rows; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, texts
 
-#: Chunks a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+#: Bytes of chunks and their ids, with what Python adds to each, that a worker remembers before it starts anew.
+REMEMBERED, ENTRY = 320_000_000, 200
 #: Rows of one length that are ranked together, about.
 RANKED_TOGETHER = 200_000
 
@@ -40,14 +41,17 @@ class _Known(dict):
         import regex
 
         self.run, self.pieces = run, regex.compile(self.PIECES).findall
+        self.bytes = 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.clear()
+            self.bytes = 0
         # below U+0250 lower case is a matter of single characters, and nothing is composed anew
         pieces = self.pieces(chunk.lower()) if max(chunk) < "\u0250" else None
         found = self.run(chunk) if pieces is None or pieces == [chunk] else b"".join(map(self.__getitem__, pieces))
         self[chunk] = found
+        self.bytes += 4 * len(chunk) + len(found) + ENTRY
         return found
 
 
@@ -102,31 +106,56 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int
     return arrow_rows(texts(df), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def complement(left: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to the gap exactly, the largest first; None without any."""
-    if left[gap]:
-        return [gap]
+class Sums:
+    """The sums of one, two and three available lengths, by total.
 
-    def pair(total: int, most: int) -> list[int] | None:
-        if total < 2:
-            return None
-        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        if not a.size:
-            return None
-        fits = (left[a] > 0) & (left[total - a] > 0) & ((2 * a != total) | (left[a] > 1))
-        return [int(x), total - int(x)] if fits.any() and (x := a[fits.argmax()]) else None
+    A total's pairs, and the largest members of its triples, are listed when it is first asked for, and a mark
+    says where the first one is that isn't used up yet.
+    """
 
-    if found := pair(gap, gap):
-        return found
-    for a in np.flatnonzero(left[: gap - 1])[::-1].tolist():
-        left[a] -= 1
-        found = pair(gap - a, a)
-        left[a] += 1
-        if found:
-            return [a, *found]
-        if 3 * a < gap:
-            break
-    return None
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.listed: tuple[dict, dict] = ({}, {})
+
+    def members(self, total: int, triples: bool) -> list:
+        """The larger members of a total's pairs, or all that may be the largest of its triples, falling; and the mark."""
+        if total not in self.listed[triples]:
+            low, high = (-(-total // 3), total - 2) if triples else (-(-total // 2), total - 1)
+            a = np.arange(high, low - 1, -1) if high >= max(low, 1) else np.empty(0, int)
+            a = a[self.left[a] > 0]
+            self.listed[triples][total] = [a if triples else a[self.left[total - a] > 0], 0]
+        return self.listed[triples][total]
+
+    def has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in set(lengths))
+
+    def pair(self, total: int, *used: int) -> list[int] | None:
+        """The pair with the largest member, beside those used already."""
+        found = self.members(total, False)
+        for i in range(found[1], len(found[0])):
+            a = int(found[0][i])
+            if self.has(a, total - a, *used):
+                return [a, total - a]
+            if i == found[1] and not self.has(a, total - a):
+                found[1] += 1
+        return None
+
+    def triple(self, total: int, *used: int) -> list[int] | None:
+        """The triple with the largest member, beside those used already."""
+        found = self.members(total, True)
+        for i in range(found[1], len(found[0])):
+            a = int(found[0][i])
+            if self.has(a, *used) and (rest := self.pair(total - a, a, *used)):
+                return [a, *rest]
+            if i == found[1] and not (self.has(a) and self.pair(total - a, a)):
+                found[1] += 1
+        return None
+
+    def complement(self, gap: int, *used: int) -> list[int] | None:
+        """One, two or three available lengths, beside those used already, that fill the gap exactly."""
+        if self.has(gap, *used):
+            return [gap]
+        return self.pair(gap, *used) or self.triple(gap, *used)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -137,15 +166,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
             raise ValueError(f"length {length} doesn't fit {capacity}")
         left[length] = n
     patterns: list[tuple[int, list[int]]] = []
-    rest = np.zeros_like(left)
+    rest, sums = np.zeros_like(left), Sums(left)
     for length in range(capacity, 0, -1):
         while left[length]:
-            if length == capacity:
-                found = []
-            else:
-                left[length] -= 1
-                found = complement(left, capacity - length)
-                left[length] += 1
+            found = sums.complement(capacity - length, length) if length < capacity else []
             if found is None:
                 rest[length], left[length] = left[length], 0
                 break
