@@ -9,7 +9,8 @@ path.  Words are remembered (up to a bound) between slices.
 
 Defined results: a null text is the empty text, which has no ids; special tokens spelled out
 in a text become their ids, as the tokenizers library does by default; repeated rows are
-encoded one by one; other columns are ignored; an empty table gives an empty result.
+encoded one by one, rows without a doc_id like any other; very long texts are encoded whole; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import arrow_rows, texts
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the public word pattern of byte-level BPE.
 WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-#: Entries a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+#: Bytes of chunks and their ids, with what Python adds to each, that a worker remembers before it starts anew.
+REMEMBERED, ENTRY = 320_000_000, 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,6 +70,7 @@ class TrieBPE:
         self.edges: tuple[dict, dict] = ({}, {})
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.size = 0
         self.find = regex.compile(WORDS).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.white_runs = re.compile(f"[{WHITE}]{{2}}")
@@ -146,14 +148,15 @@ class TrieBPE:
         """Encodes the chunks that are not yet remembered, all their distinct words in one traversal."""
         known = self.known
         new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if self.size > REMEMBERED:
             known.clear()
-            new = list(chunks)
+            self.size, new = 0, list(chunks)
         split = [[w.encode() for w in self.find(c)] for c in new]
         words = sorted({w for ws in split for w in ws})
         ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, self.encode_words(words))}
         for c, ws in zip(new, split):
             known[c] = b"".join(map(ids.__getitem__, ws))
+        self.size += sum(4 * len(c) + len(known[c]) + ENTRY for c in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
