@@ -4,16 +4,20 @@ Method: HTML parsing turns a page into an ordered array of text and media-refere
 references carry the digest of their media, and a join on the digest resolves them, so that
 positions and captions stay aligned with what they resolve to.  A medium is stored as a
 binary PGM image of 8-bit samples, 64 to a row, and every figure is computed from the stored
-bytes after they are read back.
-
-Defined results: a null or empty text is a payload of 64 zero bytes; a null page has an empty
-sequence; references to unknown digests resolve to null and keep their place; repeated
-rows are kept; equal media are described once and joined to every reference.
+bytes after they are read back.  A document's page holds its own lines as text, and between the first half of them and
+the rest a figure that refers to its medium, so that text and media are interleaved; web pages go the same way.
+
+Defined results: a null or empty text is a payload of 64 zero bytes, on a page of the figure alone; a null page has an empty
+sequence; references to unknown digests, and by other addresses, resolve to null and keep their place; repeated
+rows and rows without a doc_id are kept; very long texts are one medium each; markup inside a document's text is text;
+equal media are described alike and joined once to every reference; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html
 import zlib
 from html.parser import HTMLParser
 
@@ -85,10 +89,10 @@ class _Sequence(HTMLParser):
             self.run.append(data)
 
 
-def sequence_of(html: str | None) -> list[dict]:
+def sequence_of(page: str | None) -> list[dict]:
     """The page's ordered text and media-reference items; a figure's caption belongs to its media."""
     parser = _Sequence()
-    parser.feed(html or "")
+    parser.feed(page or "")
     parser.close()
     parser.flush()
     return parser.items
@@ -102,9 +106,10 @@ def interleave(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def references(sequences: DataFrame, key: str = "page_id") -> DataFrame:
-    """A row for each media reference: key, position, caption, ref, and the digest if it refers by one."""
+    """A row for each media reference: key, position, caption, ref, the digest if it refers by one, and its sequence's items and characters of text."""
     item = F.explode(F.filter("sequence", lambda x: x["kind"] == "media"))
-    flat = sequences.select(key, item.alias("i")).select(key, "i.position", "i.caption", "i.ref")
+    chars = F.aggregate("sequence", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
+    flat = sequences.select(key, F.size("sequence").alias("n_items"), chars.alias("text_chars"), item.alias("i")).select(key, "i.position", "n_items", "text_chars", "i.caption", "i.ref")
     return flat.withColumn("digest", F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64)))
 
 
@@ -143,16 +148,26 @@ def describe(samples: bytes) -> str:
 
 
 def store_documents(df: DataFrame) -> DataFrame:
-    """Writes each text as a medium and its page as HTML that refers to it by digest; the written table."""
+    """Writes each text as a medium; the written table of doc_id, digest and media."""
 
     def work(batch):
         media = [stored_form(t.encode()) for t in batch.column("text").to_pylist()]
-        digests = [hashlib.sha256(m).hexdigest() for m in media]
-        docs = batch.column("doc_id").to_pylist()
-        pages = [f'<article><p>Document {d}</p><figure><img src="{SCHEME}{x}" alt=""><figcaption>{n} code points</figcaption></figure></article>' for d, x, n in zip(docs, digests, map(len, batch.column("text").to_pylist()))]
-        return {"doc_id": docs, "html": pages, "digest": digests, "media": media}
+        return {"doc_id": batch.column("doc_id"), "digest": [hashlib.sha256(m).hexdigest() for m in media], "media": media}
+
+    return materialize(arrow_rows(texts(df), lambda: work, "doc_id long, digest string, media binary"), "media")
+
+
+def page_of(text: str) -> str:
+    """A document as HTML: its lines as paragraphs, and in their middle a figure that refers to its medium by digest."""
+    lines = [f"<p>{html.escape(x)}</p>" for x in text.split("\n")]
+    half = len(lines) // 2
+    figure = f'<figure><img src="{SCHEME}{hashlib.sha256(stored_form(text.encode())).hexdigest()}" alt=""><figcaption>{len(text)} code points</figcaption></figure>'
+    return "<article>" + "".join([*lines[:half], figure, *lines[half:]]) + "</article>"
+
 
-    return materialize(arrow_rows(texts(df), lambda: work, "doc_id long, html string, digest string, media binary"), "media")
+def document_pages(df: DataFrame) -> DataFrame:
+    """doc_id and html of each document's page, which is made where it is read and not stored."""
+    return arrow_rows(texts(df), lambda: lambda b: {"doc_id": b.column("doc_id"), "html": list(map(page_of, b.column("text").to_pylist()))}, "doc_id long, html string")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -173,5 +188,6 @@ def described(media: DataFrame) -> DataFrame:
 def document_media(df: DataFrame) -> DataFrame:
     """Every document's medium, found again through its page: parsed, referred to by digest, joined and described."""
     stored = store_documents(df)
-    refs = references(interleave(stored.select("doc_id", "html"), "doc_id"), "doc_id")
-    return resolve(refs, described(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    refs = references(interleave(document_pages(df), "doc_id"), "doc_id")
+    facts = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return resolve(refs, described(stored)).select("doc_id", *facts, "position", "n_items", "text_chars", "caption")
