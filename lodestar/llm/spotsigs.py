@@ -7,6 +7,10 @@ itself where neither it nor one of the SPAN words before it is common, so that a
 and of such a stretch, is in the fingerprint.  A fingerprint is the set of
 signature hashes, written out as sorted hexadecimal numbers.
 
+Likenesses of given pairs are compared by length first: sets are partitioned by their length, and a pair whose
+partitions are so far apart that its similarity is certainly under FLOOR is 0 without being compared; the others get
+their Jaccard similarity.
+
 Near duplicates: sets are partitioned by their length, into ranges so wide that only sets of the same or
 the next range can be similar enough; within them an inverted index on the rarest signatures of each
 set proposes pairs, and the Jaccard similarity is only computed for pairs whose lengths allow the
@@ -34,8 +38,10 @@ ANCHORS = (
     "el los las del y que en por con para una es se su al lo como no a"
 ).split()
 CHAIN, SPAN = 2, 6
-#: Ranges of doc_id in which documents are put in order; a range is a task's share, the table of ranges has a fixed bound.
-RANGES = 4096
+#: Documents are put in order in ranges of doc_id with about so many rows each; the table of ranges has a fixed bound.
+RANGE_ROWS, RANGES = 500, 65_536
+#: Likenesses under it count as none.
+FLOOR = 0.02
 
 
 def signatures(text: Column, stand_ins: bool = False) -> Column:
@@ -67,26 +73,37 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda h: F.lpad(F.hex(h), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets, 1 for two empty ones."""
+def length_class(sigs: Column, least: float) -> Column:
+    """The partition of a set by its length; sets of at least this similarity are in the same one or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1)).cast("double")) / -F.log(F.lit(float(least)))).cast("long")
+
+
+def likeness(a: Column, b: Column, least: float = FLOOR) -> Column:
+    """Jaccard similarity of two sets, 1 for two empty ones; 0 where their lengths alone keep it under ``least``."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    apart = (F.abs(length_class(a, least) - length_class(b, least)) > 1) | (F.least(F.size(a), F.size(b)) < F.greatest(F.size(a), F.size(b)) * F.lit(float(least)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     """Adds next_<column>s of the next row by descending doc_id; after the last comes the first.
 
-    Rows are dealt by ranges of doc_id.  The first row of each range is also sent to the range
+    Rows are dealt by ranges of doc_id, cut at quantiles, as many as the rows ask for.  The first row of each range is also sent to the range
     before it in this order, so that every range finds all of its next rows by itself.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    width = (high - low) // RANGES + 1
-    placed = docs.withColumn("_range", F.floor((F.col("doc_id") - low) / width).cast("long"))
+    ranges = max(1, min(RANGES, docs.count() // RANGE_ROWS))
+    cuts = F.percentile_approx("doc_id", F.lit([k / ranges for k in range(1, ranges)]), 4 * max(ranges, 2_500)) if ranges > 1 else F.array().cast("array<bigint>")
+    bounds = sorted(set(docs.agg(cuts.alias("c")).first()["c"] or ()))
+    # a literal: decoded once when the plan is made, not for each row
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else None
+    steps = F.lit([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    # how many bounds are at most the doc_id, by halving steps
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if bounds else F.lit(0)
+    placed = docs.withColumn("_range", below.cast("long"))
     tops = placed.groupBy("_range").agg(F.max("doc_id").alias("_top"))
     around = Window.orderBy("_range")  # at most RANGES rows
-    heads = tops.select("_range", "_top", F.coalesce(F.lead("_range").over(around), F.lit(0)).alias("_to"))
+    first = F.min("_range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = tops.select("_range", "_top", F.coalesce(F.lead("_range").over(around), first).alias("_to"))
     marked = placed.join(F.broadcast(heads), "_range")
     order = ["_ghost", F.desc("doc_id"), *columns]
     # one of the rows with the range's largest doc_id is the head: the first in the order of columns
@@ -129,7 +146,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = materialize(docs.groupBy("sigs").agg(F.min("doc_id").alias("a")).filter(F.size("sigs") > 0).select("a", "sigs", F.size("sigs").alias("n")), "classes")
     base = F.lit(float(threshold))
     # lengths of one range differ by less than the threshold allows, so partners are in the same range or the next
-    bucket = F.floor(F.log(F.col("n").cast("double")) / -F.log(base)).cast("long")
+    bucket = length_class(F.col("sigs"), threshold)
     flat = classes.select("a", "n", bucket.alias("range"), F.explode("sigs").alias("sig"))
     frequency = flat.groupBy("sig").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("a").orderBy("df", "sig")
