@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends lineage by a checkpoint in the shared folder the session names; where it names none, in a temporary one."""
+    """Ends lineage by a checkpoint in the shared folder the session names; a local master, which has one machine, may do without."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="lodestar-")
+        sc.setCheckpointDir(named)
     return df.checkpoint()
 
 
@@ -92,12 +97,55 @@ def unique_targets(candidates: DataFrame, site: list[str], priority: str, target
     return each.groupBy(*site).agg(F.min_by(target, priority).alias(target), F.min(priority).alias("resolved_by"))
 
 
-def on_cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes that reach themselves."""
-    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-    seeds = edges.select(F.col("src").alias("start")).distinct()
-    back = closure(edges, seeds, max_depth).join(edges.select("src", "dst").distinct(), (F.col("node") == F.col("src")) & (F.col("start") == F.col("dst")))
-    return back.select(F.col("start").alias("node")).union(loops).distinct()
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left when those from nodes that nothing leads to, and to nodes that lead nowhere, go again and again."""
+    while True:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = cut(kept.select("src", "dst"))
+        if kept.count() == edges.count():
+            return kept
+        edges = kept
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves: loops, and nodes of strongly connected parts of several.
+
+    Each round trims what is on no cycle, gives every node the largest number that reaches it, and takes, of the nodes
+    with one number, those that reach the node of that number: a strongly connected part, which then leaves with its colour's edges
+    to it.  No node's closure is made.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    found = edges.filter("src = dst").select(F.col("src").alias("node"))
+    edges = edges.filter("src != dst")
+    while True:
+        edges = trimmed(edges)
+        if not edges.head(1):
+            return found.distinct()
+        colour = cut(edges.select(F.col("src").alias("node"), F.col("src").alias("c")).union(edges.select("dst", "dst")).distinct())
+        while True:
+            sent = edges.join(colour.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("_in"))
+            after = cut(colour.join(sent, "node", "left").select("node", F.greatest("c", F.coalesce("_in", "c")).alias("c"), (F.col("_in") > F.col("c")).alias("_new")))
+            colour = after.select("node", "c")
+            if not after.filter("_new").head(1):
+                break
+        own = edges.join(colour.select(F.col("node").alias("src"), F.col("c").alias("_c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("_c2")), "dst").filter("_c1 = _c2").select("src", "dst", F.col("_c1").alias("c"))
+        own = cut(own)
+        # backward from each colour's root, inside its colour
+        part = cut(own.filter("src = c").select(F.col("c").alias("node"), "c").distinct())
+        frontier = part
+        while True:
+            back = own.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct()
+            frontier = cut(back.join(part.select("node"), "node", "left_anti"))
+            if not frontier.head(1):
+                break
+            part = cut(part.union(frontier.select("node", "c")))
+        several = part.join(part.groupBy("c").agg(F.count("*").alias("_n")).filter("_n > 1"), "c").select("node")
+        found = cut(found.union(several))
+        gone = cut(part.select("node"))
+        edges = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        # roots without an edge of their colour are on no cycle
+        alone = colour.filter("node = c").select("node").join(own.select(F.col("c").alias("node")).distinct(), "node", "left_anti")
+        edges = cut(edges.join(alone.withColumnRenamed("node", "src"), "src", "left_anti").join(alone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,10 +180,10 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def is_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: whether the closure orders every pair of nodes."""
-    n = nodes.select(F.count("*").alias("n"))
-    pairs = closure(edges, nodes.select(F.col("node").alias("start"))).select(F.count("*").alias("pairs"))
-    return n.crossJoin(pairs).select((F.col("pairs") == F.col("n") * (F.col("n") - 1) / 2).alias("is_chain"), "n", "pairs")
+    """One row: whether the dependencies order every pair of nodes, which is so if each level has one node."""
+    order = levels(nodes.select("node"), edges)
+    counts = order.agg(F.count("*").alias("n"), F.countDistinct("level").alias("levels"), F.count_if(F.col("level").isNull()).alias("_on"))
+    return counts.select(((F.col("levels") == F.col("n")) & (F.col("_on") == 0)).alias("is_chain"), "n", "levels")
 
 
 def fingerprints(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -343,3 +391,30 @@ def subsystem_names(members: DataFrame, share: float = 2 / 3) -> DataFrame:
     again = Window.partitionBy("_first")
     out = unique.withColumn("_m", F.count("*").over(again))
     return out.select("community", F.when(F.col("_n") == 1, F.col("base")).when(F.col("_m") == 1, F.col("_first")).otherwise(F.concat_ws("#", "_first", "community")).alias("name"))
+
+
+def file_graph(edges: DataFrame) -> DataFrame:
+    """src, dst and n: the resolved edges between files, of all kinds, and how many there are of each."""
+    known = edges.filter((F.col("resolved") == 1) & F.col("to_file_id").isNotNull())
+    return known.groupBy(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")).agg(F.count("*").alias("n"))
+
+
+def symbol_impact(references: DataFrame, seeds: DataFrame) -> DataFrame:
+    """file and owner of everything that calls, extends or implements a seed, directly or through others.
+
+    references: owner (null where no callable encloses it), file and target.  A reference without an owner reports its file and
+    leads no further.
+    """
+    owned = references.filter("owner IS NOT NULL").select(F.col("target").alias("src"), F.col("owner").alias("dst"))
+    reached = closure(owned, seeds).select("node").distinct()
+    targets = cut(reached.union(seeds.select("start")).distinct())
+    hits = references.join(targets.select(F.col("node").alias("target")), "target", "left_semi")
+    start = seeds.select(F.col("start").alias("owner"))
+    return hits.select("file", "owner").distinct().join(start, "owner", "left_anti").select("file", "owner")
+
+
+def rolled_up(tree: DataFrame) -> DataFrame:
+    """root, total and done: of every node, all that stands below it and itself; tree: node, parent, done."""
+    below = closure(tree.select(F.col("parent").alias("src"), F.col("node").alias("dst")), tree.select(F.col("node").alias("start"))).select(F.col("start").alias("root"), "node")
+    every = below.union(tree.select("node", "node"))
+    return every.join(tree.select("node", "done"), "node").groupBy("root").agg(F.count("*").alias("total"), F.count_if("done").alias("done"))

@@ -59,3 +59,12 @@ def dependency_facts(imports: DataFrame, files: DataFrame) -> DataFrame:
     hit = i.join(f, "_t", "left").withColumn("_ok", (F.col("_q") == F.col("_p")) | F.col("_q").endswith(F.concat(F.lit("/"), F.col("_p"))))
     g = hit.groupBy("from_unit", "specifier").agg(F.count_if("_ok").alias("n"), F.min(F.when(F.col("_ok"), F.col("to_unit"))).alias("to_unit"))
     return g.filter("n < 2").select("from_unit", "specifier", "to_unit", F.when(F.col("n") == 1, "certified").otherwise("missing").alias("certainty"))
+
+
+def constrained(rules: dict[str, str | list[str]]) -> Column:
+    """True where every capture, a column, matches its expression, or all of several; a missing capture counts as empty."""
+    out = F.lit(True)
+    for name, patterns in rules.items():
+        for p in [patterns] if isinstance(patterns, str) else patterns:
+            out = out & F.rlike(F.coalesce(F.col(name), F.lit("")), F.lit(p))
+    return out

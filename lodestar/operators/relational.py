@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +98,111 @@ def fit_budget(df: DataFrame, section: str, order: list[str], cost: str, budget:
 def suffix_matches(path: Column, query: str) -> Column:
     """The path is the query or ends with it after a separator."""
     return (path == query) | path.endswith("/" + query) | path.endswith("\\" + query)
+
+
+#: Patterns that may meet any path are compared so many at a time.
+BLOCK = 1000
+
+
+def glob_overlaps(left: DataFrame, right: DataFrame, key: str, glob: str) -> DataFrame:
+    """a and b: the keys of path patterns that can name one path; * and ? stand for characters of one part, ** for any parts.
+
+    Patterns are joined on their depth and their first part, those without wildcards before the last part on all of these; only what has a wildcard in front, or ** anywhere,
+    is compared with all.  Whether two patterns overlap is decided by walking both.
+    """
+    def prepared(df, name):
+        parts = F.split(F.regexp_replace(glob, r"^\./", ""), "/")
+        deep = F.contains(F.col(glob), F.lit("**"))
+        head = F.get(parts, 0)
+        return df.select(F.col(key).alias(name), F.col(glob).alias(f"_{name}"), F.when(deep, -1).otherwise(F.size(parts)).alias("_size"), F.when(head.rlike(r"[*?\[]"), F.lit(None)).otherwise(head).alias("_head"))
+
+    @F.pandas_udf("boolean")
+    def overlap(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        from functools import lru_cache
+
+        @lru_cache(None)
+        def text(a, b):
+            if not a or not b:
+                return all(c == "*" for c in a + b)
+            if a[0] == "*" or b[0] == "*":
+                return text(a[1:], b) if a[0] == "*" and text(a[1:], b) else text(a, b[1:]) if a[0] == "*" else text(a, b[1:]) or text(a[1:], b)
+            return (a[0] == b[0] or "?" in (a[0], b[0])) and text(a[1:], b[1:])
+
+        @lru_cache(None)
+        def parts(a, b):
+            if not a or not b:
+                return all(p == "**" for p in a + b)
+            if a[0] == "**":
+                return parts(a[1:], b) or parts(a, b[1:])
+            if b[0] == "**":
+                return parts(a, b[1:]) or parts(a[1:], b)
+            return text(a[0], b[0]) and parts(a[1:], b[1:])
+
+        return pd.Series([parts(tuple(x.split("/")), tuple(y.split("/"))) for x, y in zip(xs, ys)])
+
+    a, b = prepared(left, "a"), prepared(right, "b").select("b", "_b", F.col("_size").alias("_bs"), F.col("_head").alias("_bh"))
+    plain = lambda df, s, h: df.filter(F.col(h).isNotNull() & (F.col(s) >= 0))
+    # a pattern without wildcards but in its last part meets only those that are equal up to there
+    fixed = lambda c: ~F.regexp_replace(c, r"[^/]*$", "").rlike(r"[*?\[]")
+    directory = lambda c: F.regexp_replace(c, r"[^/]*$", "")
+    fa, fb = plain(a, "_size", "_head").withColumn("_fixed", fixed("_a")), plain(b, "_bs", "_bh").withColumn("_fixed", fixed("_b"))
+    fa, fb = fa.withColumn("_dir", directory("_a")), fb.withColumn("_bdir", directory("_b"))
+    both = fa.filter("_fixed").join(fb.filter("_fixed"), (F.col("_dir") == F.col("_bdir")) & (F.col("_size") == F.col("_bs")))
+    some = fa.join(fb, (F.col("_head") == F.col("_bh")) & (F.col("_size") == F.col("_bs"))).filter(~(fa["_fixed"] & fb["_fixed"]))
+    take = lambda df: df.select("a", "_a", "b", "_b")
+    out = take(both).union(take(some))
+    # patterns with a wildcard in front can meet any path: a stated set against all rows, in blocks
+    for one, other, names in ((a, b, ("a", "_a", "_size", "_head")), (b, a.filter(F.col("_head").isNotNull() & (F.col("_size") >= 0)), ("b", "_b", "_bs", "_bh"))):
+        open_ = [(r[0], r[1]) for r in one.filter(F.col(names[3]).isNull() | (F.col(names[2]) < 0)).select(*names[:2]).toLocalIterator()]
+        for i in range(0, len(open_), BLOCK):
+            asked = F.explode(F.lit([x for _, x in open_[i : i + BLOCK]])).alias(names[1])
+            keys = one.select(names[0], names[1])
+            out = out.union(take(other.select("*", asked).join(keys, names[1])))
+    return out.filter(overlap("_a", "_b")).select("a", "b").distinct()
+
+
+def limited_to_changed(findings: DataFrame, changed: DataFrame, path: str, rules: list[str]) -> DataFrame:
+    """Findings without those of the given rules in files that aren't changed; without any changed file all of these go."""
+    kept = changed.select(path).distinct().withColumn("_in", F.lit(True))
+    return findings.join(kept, path, "left").filter(~F.col("rule_id").isin(rules) | F.col("_in")).drop("_in")
+
+
+def capped_by_language(findings: DataFrame, validated: DataFrame, language: str) -> DataFrame:
+    """Findings of languages that aren't validated count as info and are marked as capped."""
+    ok = validated.select(language).distinct().withColumn("_ok", F.lit(True))
+    marked = findings.join(F.broadcast(ok), language, "left").withColumn("capped", F.col("_ok").isNull())
+    return marked.withColumn("severity", F.when(F.col("capped"), "info").otherwise(F.col("severity"))).drop("_ok")
+
+
+def compact(df: DataFrame, root: str, paths: list[str]) -> DataFrame:
+    """Paths below the root without it, and no fields of byte and column spans."""
+    spans = ("start_byte", "end_byte", "start_col", "end_col")
+    prefix = root.rstrip("/") + "/"
+    return df.drop(*spans).withColumns({p: F.when(F.startswith(p, F.lit(prefix)), F.substring(F.col(p), len(prefix) + 1, 1 << 30)).otherwise(F.col(p)) for p in paths})
+
+
+def without_folders(df: DataFrame, path: str, folders: list[str]) -> DataFrame:
+    """Rows whose path is in none of the folders."""
+    inside = F.lit(False)
+    for f in folders:
+        inside = inside | F.startswith(path, F.lit(f.rstrip("/") + "/")) | (F.col(path) == f.rstrip("/"))
+    return df.filter(~inside)
+
+
+def pack_page(files: DataFrame, symbols: DataFrame, key: str, order: list, path: str, symbol: str, cost: Column, limit: int, offset: int, budget: int) -> DataFrame:
+    """rank, path and symbol: a page of files by their order, and their symbols in that order while their cost fits the budget."""
+    first = files.orderBy(*order).limit(offset + limit)  # a page has a fixed bound
+    page = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") > offset)
+    rows = F.broadcast(page).join(symbols, key).withColumn("_cost", cost)
+    used = F.sum("_cost").over(Window.orderBy("rank", symbol).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_used", used).filter(F.col("_used") <= budget).select("rank", path, symbol)
+
+
+def unique_suffix(files: DataFrame, wanted: DataFrame, path: str, key: str) -> DataFrame:
+    """wanted, key and error: the one file whose path is, or ends with, the wanted one; several or none are an error."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    f = files.select(key, path, last(F.col(path)).alias("_last"))
+    hits = wanted.select("wanted", last(F.col("wanted")).alias("_last")).join(f, "_last").filter((F.col(path) == F.col("wanted")) | F.endswith(path, F.concat(F.lit("/"), F.col("wanted"))))
+    counts = hits.groupBy("wanted").agg(F.count("*").alias("_n"), F.min(key).alias(key))
+    found = wanted.join(counts, "wanted", "left")
+    return found.select("wanted", F.when(F.col("_n") == 1, F.col(key)).alias(key), F.when(F.col("_n").isNull(), "file_not_found").when(F.col("_n") > 1, "ambiguous_path").alias("error"))

@@ -111,10 +111,10 @@ def state_changes(df: DataFrame, keys: list[str], order: list[str], state: str)
 
 
 def paired(calls: DataFrame, results: DataFrame, key: str, ts: str) -> DataFrame:
-    """Calls with the first result of their key that isn't earlier, and the seconds in between."""
-    r = results.select(key, F.col(ts).alias("result_ts"))
-    hit = calls.join(r, (calls[key] == r[key]) & (r["result_ts"] >= calls[ts]), "left").drop(r[key])
-    once = hit.groupBy(*calls.columns).agg(F.min("result_ts").alias("result_ts"))
+    """Calls with the first result of their key that isn't earlier, and the seconds in between; one pass over a key's calls and results."""
+    both = calls.withColumn("_call", F.lit(True)).unionByName(results.select(key, ts, F.col(ts).alias("_result")), allowMissingColumns=True)
+    later = Window.partitionBy(key).orderBy(ts).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    once = both.withColumn("result_ts", F.min("_result").over(later)).filter("_call").select(*calls.columns, "result_ts")
     return once.withColumn("seconds", (micros(F.col("result_ts")) - micros(F.col(ts))) / 1_000_000)
 
 
@@ -125,6 +125,20 @@ def launch_stop_cycles(df: DataFrame, key: str, ts: str, launched: Column, stopp
     return marks.filter(F.col("_stop") & ~F.coalesce("_prev", F.lit(True))).groupBy(key).agg(F.count("*").alias("cycles"))
 
 
+def loops(df: DataFrame, key: str, action: str, ts: str, written: Column, launched: Column, stopped: Column, refused: Column, repeat: tuple[int, int], cycles: int, refusals: tuple[int, int]) -> DataFrame:
+    """key and found: the first of three reasons to call what a key does a loop, null without one.
+
+    An action that writes, repeated so often in so many seconds; launches that are stopped again; refusals in the
+    last so many seconds.  Each is the operator of its own name.
+    """
+    again = trailing_count(df.filter(written), [key, action], ts, repeat[1]).filter(F.col("n_recent") >= repeat[0])
+    again = again.groupBy(key).agg(F.concat(F.min(action), F.lit(" repeated "), F.max("n_recent").cast("string")).alias("_a"))
+    stops = launch_stop_cycles(df, key, ts, launched, stopped).filter(F.col("cycles") >= cycles).select(key, F.concat(F.lit("launch and stop "), F.col("cycles").cast("string")).alias("_b"))
+    now = df.agg(F.max(ts)).first()[0]
+    no = burst(df.filter(refused), [key], ts, F.lit(now), refusals[1], refusals[0]).select(key, F.concat(F.lit("refused "), F.col("n").cast("string")).alias("_c"))
+    return df.select(key).distinct().join(again, key, "left").join(stops, key, "left").join(no, key, "left").select(key, F.coalesce("_a", "_b", "_c").alias("found"))
+
+
 def sessions(df: DataFrame, keys: list[str], order: list[str], quiet_s: float) -> DataFrame:
     """Sessions divided by quiet periods: keys, number, first and last time, and rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -139,3 +153,11 @@ def skill_errors(df: DataFrame, keys: list[str], order: list[str], mark: Column,
     w = Window.partitionBy(*keys).orderBy(*order)
     runs = df.withColumn("run", F.sum(F.when(mark, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("run > 0")
     return runs.groupBy(*keys, "run").agg(F.min(order[0]).alias("started"), F.count_if(error).alias("errors"))
+
+
+def alive(df: DataFrame, key: str, order: list[str], event: str, ts: str, now: Column, windows: dict[str, int]) -> DataFrame:
+    """key and alive: whether a key's latest event is of a kind with a window, in seconds, that hasn't passed."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(event, ts), F.struct(*order)).alias("_l"))
+    age = (micros(now) - micros(F.col(f"_l.{ts}"))) / 1_000_000
+    known = F.create_map(*(F.lit(x) for pair in windows.items() for x in pair))
+    return last.select(key, F.coalesce(age < F.try_element_at(known, F.col(f"_l.{event}")), F.lit(False)).alias("alive"))

@@ -17,6 +17,10 @@ ANCHORS = ((0, 100), (1, 90), (5, 70), (10, 40), (20, 10), (30, 0))
 MICRO = 1_000_000
 
 
+#: Ranges that a running count is dealt into.
+PIECES = 256
+
+
 def nearest_rank(value: str, percent: int) -> Column:
     """The value at rank ceil(n * percent / 100); null for no values."""
     return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")
@@ -101,13 +105,62 @@ def win_probability(a: Column, b: Column) -> Column:
     return F.round(1 / (1 + F.exp(b - a)), 8)
 
 
+def running(df: DataFrame, value: str, counted: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``counted`` over all rows with a smaller value, without ordering all rows in one task.
+
+    Equal values are summed first.  The sums are dealt into ranges cut at quantiles, added up inside each, and what the
+    ranges before hold is added, of which there are at most PIECES.
+    """
+    sums = df.groupBy(value).agg(F.sum(counted).alias("_sum"))
+    cuts = sorted(set(sums.agg(F.percentile_approx(value, F.lit([k / PIECES for k in range(1, PIECES)]), 4 * PIECES).alias("c")).first()["c"] or ()))
+    piece = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    dealt = sums.withColumn("_piece", piece)
+    totals = dealt.groupBy("_piece").agg(F.sum("_sum").alias("_total"))
+    before = totals.select("_piece", F.coalesce(F.sum("_total").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_sum").over(Window.partitionBy("_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_piece").select(value, (F.col("_inside") + F.col("_base")).alias(name))
+    return df.join(below, value)
+
+
+def rank_intervals(df: DataFrame, key: str, low: str, high: str) -> DataFrame:
+    """key, best and worst: the ranks an item may have, by the items whose whole interval is above, or not below, its own."""
+    points = df.select(key, F.col(high).alias("v"), F.lit(0).alias("_low"), F.lit(1).alias("_high")).union(df.select(key, low, F.lit(1), F.lit(0)))
+    marked = running(running(points, "v", "_low", "_lows"), "v", "_high", "_highs")
+    n = df.count()
+    same = points.groupBy("v").agg(F.sum("_low").alias("_same"))
+    best = marked.filter("_high = 1").join(same, "v").select(key, (1 + n - F.col("_lows") - F.col("_same")).alias("best"))
+    return best.join(marked.filter("_low = 1").select(key, (n - F.col("_highs")).alias("worst")), key)
+
+
 def kendall(df: DataFrame, a: str, b: str, item: str) -> DataFrame:
-    """n, concordant, discordant and tau of two rankings of the same items, by a merge-free pair join on the smaller id."""
-    x, y = (df.select(F.col(item).alias(f"i{k}"), F.col(a).alias(f"a{k}"), F.col(b).alias(f"b{k}")) for k in (1, 2))
-    pairs = x.join(y, F.col("i1") < F.col("i2"))
-    sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
-    out = pairs.agg(F.count("*").alias("pairs"), F.count_if(sign > 0).alias("concordant"), F.count_if(sign < 0).alias("discordant"))
-    return out.select("pairs", "concordant", "discordant", ((F.col("concordant") - F.col("discordant")) / F.nullif("pairs", F.lit(0))).alias("tau"))
+    """pairs, concordant, discordant and tau of two rankings of the same items, counted by merging and not pair by pair.
+
+    In rounds, as in a merge sort from above: by one bit of b's dense rank after the other, the items of a block (equal higher
+    bits) with the bit set that have a smaller a than those without are discordant.  A round is a running count inside blocks, and there are log2(n) of them.
+    """
+    n = df.count()
+    rows = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    ranks = running(rows.select("_b").distinct().withColumn("_one", F.lit(1)), "_b", "_one", "_r").select("_b", "_r")
+    rows = rows.join(ranks, "_b").select("_a", "_r", "_n")
+    top = rows.agg(F.max("_r")).first()[0] or 0
+    parts = []
+    for bit in range(int(top).bit_length()):
+        set_ = F.shiftright("_r", bit) % 2 == 1
+        sums = rows.groupBy(F.shiftright("_r", bit + 1).alias("_k"), "_a").agg(F.sum(F.when(set_, F.col("_n")).otherwise(0)).alias("_up"), F.sum(F.when(set_, 0).otherwise(F.col("_n"))).alias("_down"))
+        sums = sums.withColumn("_ups", prefix_within(sums, "_k", "_a", "_up")) if bit + 1 < int(top).bit_length() else running(sums, "_a", "_up", "_ups")
+        parts.append(sums.agg(F.sum(F.col("_ups") * F.col("_down")).alias("d")))
+    pair = lambda x: x * (x - 1) / 2
+    ties = [rows.groupBy(*k).agg(F.sum("_n").alias("_n")).agg(F.sum(pair(F.col("_n"))).alias("d")) for k in (["_a"], ["_r"], ["_a", "_r"])]
+    tie_a, tie_b, both = (float(x.first()[0] or 0) for x in ties)
+    discordant = sum(int(p.first()[0] or 0) for p in parts)
+    pairs = n * (n - 1) // 2
+    concordant = int(pairs - discordant - tie_a - tie_b + both)
+    return df.sparkSession.createDataFrame([(pairs, concordant, discordant, (concordant - discordant) / pairs if pairs else None)], "pairs long, concordant long, discordant long, tau double")
+
+
+def prefix_within(df: DataFrame, block: str, order: str, counted: str) -> Column:
+    """The sum of ``counted`` over a block's rows before each."""
+    return F.coalesce(F.sum(counted).over(Window.partitionBy(block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.6) -> DataFrame:
@@ -180,9 +233,33 @@ def shifted(default: int, anchor: Column, k: Column, low: Column, high: Column)
 
 
 def percentile_vs(scores: DataFrame, reference: DataFrame, value: str) -> DataFrame:
-    """Adds percentile: the floor of the percent of reference values below each value, by one sorted union."""
-    both = scores.withColumn("_ref", F.lit(0)).unionByName(reference.select(value).withColumn("_ref", F.lit(1)), allowMissingColumns=True)
-    sums = both.groupBy(value).agg(F.sum("_ref").alias("_n"))
-    below = sums.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Adds percentile: the floor of the percent of reference values below each value, by running counts."""
+    both = scores.select(value).withColumn("_ref", F.lit(0)).union(reference.select(value, F.lit(1)))
+    below = running(both.groupBy(value).agg(F.sum("_ref").alias("_ref")), value, "_ref", "_below")
     total = reference.agg(F.count("*").alias("_t"))
     return scores.join(below.select(value, "_below"), value).crossJoin(F.broadcast(total)).withColumn("percentile", F.floor(100 * F.col("_below") / F.col("_t")).cast("long")).drop("_below", "_t")
+
+
+def spend(df: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
+    """Per key the sum of each weighted column, their weighted sum and the rows."""
+    weighted = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in weights), F.sum(weighted).alias("weighted"), F.count("*").alias("calls"))
+
+
+def held_out_accuracy(matches: DataFrame, coefficients: dict[str, float], outcome: str) -> DataFrame:
+    """One row: how often the weighted differences (x minus y) foretell x or y, ties counting one half; null without matches."""
+    delta = sum((F.col(c) * w for c, w in coefficients.items()), F.lit(0.0))
+    right = F.when(F.col(outcome) == "tie", 0.5).otherwise(((delta >= 0) == (F.col(outcome) == "x")).cast("double"))
+    return matches.agg(F.round(F.avg(right), 8).alias("accuracy"))
+
+
+def next_pairs(items: DataFrame, group: str, item: str, rating: str, error: str, played: DataFrame, k: int) -> DataFrame:
+    """group, x and y: in each group the k pairs not yet played that are worth most: uncertain and close.
+
+    The items of a group are those that one panel rates, so pairs are made inside it; played: group, x, y with x < y.
+    """
+    x, y = (items.select(group, F.col(item).alias(n), F.col(rating).alias(f"_r{n}"), F.col(error).alias(f"_e{n}")) for n in "xy")
+    pairs = x.join(y, group).filter("x < y").join(played.select(group, "x", "y"), [group, "x", "y"], "left_anti")
+    score = F.hypot("_ex", "_ey") / (1 + F.exp(F.abs(F.col("_rx") - F.col("_ry"))))
+    w = Window.partitionBy(group).orderBy(F.desc(F.round(score, 9)), "x", "y")
+    return pairs.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).select(group, "x", "y")

@@ -39,9 +39,23 @@ def query_terms(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf and len: the inverted index of a table."""
+#: So many terms are looked up in a text before its words become rows; more are joined.
+FEW_TERMS = 5_000
+
+
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """term, key, tf and len: the inverted index of a table; with ``only`` (term), of these terms alone.
+
+    A text's other words are then dropped before anything is shuffled.
+    """
     words = docs.select(key, terms(F.col(text)).alias("_w")).withColumn("len", F.size("_w"))
+    if only is not None:
+        few = [r["term"] for r in only.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+        if len(few) > FEW_TERMS:
+            rows = words.select(key, "len", F.explode("_w").alias("term")).join(only.select("term").distinct(), "term", "left_semi")
+            return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+        rows = words.select(key, "len", F.explode("_w").alias("term")).filter(F.col("term").isin(few) if few else F.lit(False))
+        return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     return words.select(key, "len", F.explode("_w").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
@@ -353,3 +367,12 @@ def snippet(text: Column, words: list[str], lines: int = 6, most: int = 600) ->
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rows) - lines + 1))
     scored = F.transform(starts, lambda i: F.struct((-F.aggregate(F.transform(F.slice(rows, i, lines), hits), F.lit(0), lambda a, b: a + b)).alias("s"), i.alias("i")))
     return F.substring(F.array_join(F.slice(rows, F.array_min(scored)["i"], lines), "\n"), 1, most)
+
+
+def fused_candidates(indexes: list[DataFrame], key: str, score: str, most: int = 50, k: int = RRF_K) -> DataFrame:
+    """key and score: the best ``most`` of every index, their reciprocal ranks summed."""
+    ranked = None
+    for df in indexes:
+        top = df.orderBy(F.desc(score), key).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key))).select(key, "rank")
+        ranked = top if ranked is None else ranked.union(top)
+    return fuse(ranked, [key], k)

@@ -32,7 +32,12 @@ EDGES = f"""
 SELECT id, file_id AS from_file_id, CASE WHEN q % 5 <> 0 THEN (x * 7 + s) % (SELECT count(*) FROM part) END AS to_file_id,
   CAST(x % 4 AS INT) AS kind, CASE WHEN q % 5 <> 0 THEN 1 ELSE 0 END AS resolved, id % 997 AS to_entity_id
 FROM ({_ITEMS}) items"""
-NAMES = {"files": FILES, "entities": ENTITIES, "edges": EDGES}
+#: Which unit depends on which, and how certainly: from every order, a customer's number and one drawn from the order's, as files.
+FACTS = """
+SELECT o_orderkey AS source_id, o_custkey AS from_unit, (o_orderkey % 4096) * (o_orderkey % 4096) % (SELECT count(*) FROM customer) AS to_unit,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'possible' ELSE 'certified' END AS certainty
+FROM orders"""
+NAMES = {"files": FILES, "entities": ENTITIES, "edges": EDGES, "dependency_facts": FACTS}
 #: In front of DuckDB SQL: the views as common tables.
 WITH = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in NAMES.items())
 #: The same for SQL that needs recursion.
@@ -40,8 +45,8 @@ WITH_RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def views(t: Tables) -> dict[str, DataFrame]:
-    """files, entities and edges; also registered as temporary views, for rules."""
-    for name in ("part", "lineitem"):
+    """files, entities, edges and dependency_facts; also registered as temporary views, for rules."""
+    for name in ("part", "lineitem", "orders", "customer"):
         getattr(t, name).createOrReplaceTempView(name)
     out = {k: t.spark.sql(v) for k, v in NAMES.items()}
     for k, v in out.items():

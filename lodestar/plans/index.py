@@ -11,14 +11,16 @@ from ..operators.text import accessor, is_test_path
 from .codeindex import WITH, views
 from .registry import query
 
-_SUPPLY = "SELECT DISTINCT l_suppkey % 60 AS src, 60 + l_partkey % 90 AS dst FROM lineitem WHERE l_quantity > 48 UNION SELECT DISTINCT 60 + l_partkey % 90, l_suppkey % 60 FROM lineitem WHERE l_quantity = 1 AND l_linenumber = 1"
+#: A part's number as a node, so that it is none of a supplier's.
+PARTS = 1_000_000_000
+_SUPPLY = f"""
+SELECT DISTINCT CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey ELSE {PARTS} + l_partkey END AS src, CASE WHEN l_linenumber % 2 = 1 THEN {PARTS} + l_partkey ELSE l_suppkey END AS dst FROM lineitem"""
 
 
 def supply(t):
-    """A small graph with cycles between two kinds of nodes."""
-    a = t.lineitem.filter("l_quantity > 48").select((F.col("l_suppkey") % 60).alias("src"), (60 + F.col("l_partkey") % 90).alias("dst"))
-    b = t.lineitem.filter("l_quantity = 1 AND l_linenumber = 1").select((60 + F.col("l_partkey") % 90).alias("src"), (F.col("l_suppkey") % 60).alias("dst"))
-    return a.union(b).distinct()
+    """Every line item as an edge between its supplier and its part: a graph with cycles between two kinds of nodes."""
+    out, part = F.col("l_linenumber") % 2 == 1, PARTS + F.col("l_partkey")
+    return t.lineitem.select(F.when(out, F.col("l_suppkey")).otherwise(part).alias("src"), F.when(out, part).otherwise(F.col("l_suppkey")).alias("dst")).distinct()
 
 
 def seeds(t, ids):
@@ -42,16 +44,16 @@ def _(t):
     return G.closure(supply(t), seeds(t, [3])).select("node")
 
 
-@query("G04_blast_radius", _CLOSURE.format(start=61, frm="e.dst", to="e.src"))
+@query("G04_blast_radius", _CLOSURE.format(start=PARTS + 61, frm="e.dst", to="e.src"))
 def _(t):
-    return G.closure(G.reversed_edges(supply(t)), seeds(t, [61])).select("node")
+    return G.closure(G.reversed_edges(supply(t)), seeds(t, [PARTS + 61])).select("node")
 
 
 @query("G05_explore", f"""
-WITH RECURSIVE e AS ({_SUPPLY}), c AS (SELECT s AS start, s AS node, 0 AS depth FROM (VALUES (1), (2), (65)) v(s) UNION SELECT c.start, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node WHERE c.depth < 1)
+WITH RECURSIVE e AS ({_SUPPLY}), c AS (SELECT s AS start, s AS node, 0 AS depth FROM (VALUES (1), (2), (1000000065)) v(s) UNION SELECT c.start, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node WHERE c.depth < 1)
 SELECT DISTINCT start, node FROM c WHERE node <> start""")
 def _(t):
-    return G.closure(supply(t), seeds(t, [1, 2, 65]), 1).select("start", "node")
+    return G.closure(supply(t), seeds(t, [1, 2, PARTS + 65]), 1).select("start", "node")
 
 
 @query("G06_type_hierarchy", """
@@ -131,54 +133,52 @@ def _(t):
     return c.join(p, ["file_id", "name"]).groupBy(F.col("id").alias("child")).agg(F.min("parent").alias("parent"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
 
 
-_CYCLES = f"""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 30 AS src, l_partkey % 30 AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7), c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON e.src = c.node)
-SELECT DISTINCT start AS node FROM c WHERE start = node"""
-
-
-@query("G18_module_cycles", _CYCLES)
+@query("G18_module_cycles")
 def _(t):
-    return G.on_cycles(t.lineitem.filter("l_quantity = 50 AND l_linenumber = 7").select((F.col("l_suppkey") % 30).alias("src"), (F.col("l_partkey") % 30).alias("dst")).distinct())
+    return G.on_cycles(supply(t))
 
 
-_DAG = "SELECT DISTINCT least(l_suppkey % 40, l_partkey % 40) AS src, greatest(l_suppkey % 40, l_partkey % 40) AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7 AND l_suppkey % 40 <> l_partkey % 40"
+_DAG = "SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey > 0"
+_NODES = "SELECT o_orderkey AS node FROM orders"
 
 
 def dag(t):
-    a, b = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
-    return t.lineitem.filter("l_quantity = 50 AND l_linenumber = 7").select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).filter("src != dst").distinct()
+    """Every order depends on those of half and a third of its number."""
+    o = t.orders.filter("o_orderkey > 0")
+    return o.select(F.col("o_orderkey").alias("src"), F.expr("o_orderkey div 2").alias("dst")).union(o.select("o_orderkey", F.expr("o_orderkey div 3"))).distinct()
 
 
 def dag_nodes(t):
-    return t.spark.range(40).withColumnRenamed("id", "node")
+    return t.orders.select(F.col("o_orderkey").alias("node"))
 
 
 @query("G37_dependency_levels", f"""
-WITH RECURSIVE e AS ({_DAG}), c AS (SELECT range AS node, 0 AS level FROM range(40) UNION SELECT e.dst, c.level + 1 FROM c JOIN e ON e.src = c.node) SELECT node, max(level) AS level FROM c GROUP BY node""")
+WITH RECURSIVE e AS ({_DAG}), c AS (SELECT node, 0 AS level FROM ({_NODES}) UNION SELECT e.dst, c.level + 1 FROM c JOIN e ON e.src = c.node) SELECT node, max(level) AS level FROM c GROUP BY node""")
 def _(t):
     return G.levels(dag_nodes(t), dag(t))
 
 
 @query("G34_critical_path", f"""
-WITH RECURSIVE e AS ({_DAG}), c AS (SELECT range AS node, CAST(range % 7 + 1 AS DOUBLE) AS total FROM range(40) UNION SELECT e.dst, c.total + e.dst % 7 + 1 FROM c JOIN e ON e.src = c.node) SELECT max(total) AS critical_s FROM c""")
+WITH RECURSIVE e AS ({_DAG}), c AS (SELECT node, CAST(node % 7 + 1 AS DOUBLE) AS total FROM ({_NODES}) UNION SELECT e.dst, c.total + e.dst % 7 + 1 FROM c JOIN e ON e.src = c.node) SELECT max(total) AS critical_s FROM c""")
 def _(t):
     return G.critical_path(dag_nodes(t).withColumn("duration", (F.col("node") % 7 + 1).cast("double")), dag(t))
 
 
 @query("G35_is_chain", f"""
-WITH RECURSIVE e AS ({_DAG}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst) SELECT count(*) = 40 * 39 / 2 AS is_chain, CAST(40 AS BIGINT) AS n, count(*) AS pairs FROM c""")
+WITH RECURSIVE e AS ({_DAG}), c AS (SELECT node, 0 AS level FROM ({_NODES}) UNION SELECT e.dst, c.level + 1 FROM c JOIN e ON e.src = c.node), l AS (SELECT node, max(level) AS level FROM c GROUP BY node)
+SELECT count(DISTINCT level) = count(*) AS is_chain, count(*) AS n, count(DISTINCT level) AS levels FROM l""")
 def _(t):
     return G.is_chain(dag_nodes(t), dag(t))
 
 
 @query("G33_blockers", f"""
-WITH e AS ({_DAG}) SELECT DISTINCT src AS node, CASE WHEN dst >= 35 THEN 'dependency_missing' ELSE 'dependency_incomplete' END AS kind FROM e WHERE dst >= 35 OR dst % 3 <> 0""")
+WITH e AS ({_DAG}) SELECT DISTINCT src AS node, CASE WHEN dst % 5 = 0 THEN 'dependency_missing' ELSE 'dependency_incomplete' END AS kind FROM e WHERE (dst % 5 = 0 OR dst % 3 <> 0)""")
 def _(t):
-    return G.blockers(dag_nodes(t).filter("node < 35").withColumn("done", F.col("node") % 3 == 0), dag(t))
+    return G.blockers(dag_nodes(t).filter("node % 5 != 0").withColumn("done", F.col("node") % 3 == 0), dag(t))
 
 
 @query("G30_merkle_fingerprints", f"""
-WITH e AS ({_DAG}), m0 AS (SELECT range AS node, sha256(CAST(range % 9 AS VARCHAR)) AS d FROM range(40)),
+WITH e AS ({_DAG}), m0 AS (SELECT node, sha256(CAST(node % 9 AS VARCHAR)) AS d FROM ({_NODES})),
 n1 AS (SELECT e.src AS node, string_agg(m0.d, ',' ORDER BY m0.d) AS s FROM e JOIN m0 ON m0.node = e.dst GROUP BY 1),
 m1 AS (SELECT m0.node, sha256(m0.d || '|' || coalesce(s, '')) AS d FROM m0 LEFT JOIN n1 USING (node)),
 n2 AS (SELECT e.src AS node, string_agg(m1.d, ',' ORDER BY m1.d) AS s FROM e JOIN m1 ON m1.node = e.dst GROUP BY 1)
@@ -407,7 +407,7 @@ def _(t):
 @query("G10_flow_trees")
 def _(t):
     e = dag(t).withColumn("module", F.lit(0))
-    return G.flow_trees(e, dag_nodes(t).filter("node < 4").select(F.lit(0).alias("module"), "node"))
+    return G.flow_trees(e, dag_nodes(t).filter("node % 500 = 499").select((F.col("node") % 1).cast("int").alias("module"), "node"))
 
 
 @query("G36_execution_waves")

@@ -262,11 +262,15 @@ def _(t):
 
 
 @query("E44_loop_detection", """
-WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT u.user_id, CASE WHEN a.n > 18 THEN 'errors' WHEN b.n > 18 THEN 'views' END AS found FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id)""")
-def _(t):
-    g = t.events.groupBy("user_id").agg(F.count_if(error()).alias("a"), F.count_if(F.col("event_type") == "view").alias("b"))
-    return g.select("user_id", F.coalesce(F.when(F.col("a") > 18, "errors"), F.when(F.col("b") > 18, "views")).alias("found"))
+WITH w AS (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type IN ('purchase', 'signup')),
+a AS (SELECT user_id, min(event_type) AS action, max(n) AS n FROM w WHERE n >= 3 GROUP BY 1),
+m AS (SELECT user_id, event_type = 'purchase' AS stop, lag(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE event_type IN ('signup', 'purchase')),
+b AS (SELECT user_id, count(*) AS n FROM m WHERE stop AND NOT coalesce(prev, true) GROUP BY 1),
+c AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY 1 HAVING count(*) >= 3)
+SELECT u.user_id, CASE WHEN a.n IS NOT NULL THEN a.action || ' repeated ' || CAST(a.n AS VARCHAR) WHEN b.n >= 5 THEN 'launch and stop ' || CAST(b.n AS VARCHAR) WHEN c.n IS NOT NULL THEN 'refused ' || CAST(c.n AS VARCHAR) END AS found
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
+def _(t):
+    return S.loops(t.events, "user_id", "event_type", "ts", F.col("event_type").isin("purchase", "signup"), F.col("event_type") == "signup", F.col("event_type") == "purchase", error(), repeat=(3, 86_400), cycles=5, refusals=(3, 10 * 86_400))
 
 
 @query("E27_classify_files", f"""{WITH} SELECT id, CASE WHEN id % 9 = 0 THEN 'new' WHEN id % 8 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM files""")

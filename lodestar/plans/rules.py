@@ -105,18 +105,20 @@ SELECT f.path AS file, e.start_byte AS line, e.name, e.cyclomatic, e.cognitive F
 WHERE e.kind = 1 AND e.confidence = 'high' AND (e.cyclomatic > :cyclomatic OR e.cognitive > :cognitive)""", parameters={"cyclomatic": 20, "cognitive": 15}),
         Rule("R11_function_length", """
 SELECT f.path AS file, e.start_byte AS line, e.name, e.line_span FROM entities e JOIN files f ON f.id = e.file_id
-WHERE e.kind = 1 AND e.line_span > :length AND e.cyclomatic <= :cyclomatic AND e.cognitive <= :cognitive""", parameters={"length": 40, "cyclomatic": 20, "cognitive": 15}),
+WHERE e.kind = 1 AND e.confidence = 'high' AND NOT f.is_test_path AND NOT f.is_tooling_path AND e.line_span * :scale > :length
+  AND e.cyclomatic <= :cyclomatic AND e.cognitive <= :cognitive""", parameters={"length": 60, "scale": 3, "cyclomatic": 20, "cognitive": 15}),
         Rule("R12_function_advisory", """
 SELECT f.path AS file, e.start_byte AS line, e.id, e.cyclomatic FROM entities e JOIN files f ON f.id = e.file_id
 WHERE e.kind = 1 AND e.confidence <> 'high' ORDER BY e.cyclomatic DESC, e.id LIMIT CAST(:max_findings AS INT)""", parameters={"max_findings": 25}),
         Rule("R13_low_in_high_out", """
-WITH o AS (SELECT from_file_id AS id, count(DISTINCT to_file_id) AS n FROM edges WHERE resolved = 1 GROUP BY from_file_id),
- i AS (SELECT to_file_id AS id, count(DISTINCT from_file_id) AS n FROM edges WHERE resolved = 1 GROUP BY to_file_id)
-SELECT f.path AS file, 1 AS line, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in FROM files f LEFT JOIN o ON o.id = f.id LEFT JOIN i ON i.id = f.id
-WHERE coalesce(o.n, 0) > :out AND coalesce(i.n, 0) < :in_ AND NOT f.is_test_path""", parameters={"out": 25, "in_": 22}),
+WITH o AS (SELECT from_unit, count(DISTINCT to_unit) AS n FROM dependency_facts WHERE certainty = 'certified' GROUP BY from_unit),
+ i AS (SELECT to_unit, count(DISTINCT from_unit) AS n FROM dependency_facts WHERE certainty = 'certified' GROUP BY to_unit)
+SELECT f.path AS file, 1 AS line, o.n AS fan_out, coalesce(i.n, 0) AS fan_in FROM o JOIN files f ON f.id = o.from_unit LEFT JOIN i ON i.to_unit = o.from_unit
+WHERE o.n >= :out AND coalesce(i.n, 0) <= :in_""", parameters={"out": 15, "in_": 2}),
         Rule("R14_circular_import", """
-WITH r AS (SELECT e.id, e.from_file_id AS a, e.to_file_id AS b, row_number() OVER (PARTITION BY e.from_file_id, e.to_file_id ORDER BY e.id) AS n FROM edges e WHERE e.resolved = 1 AND e.from_file_id <> e.to_file_id)
-SELECT f.path AS file, r.id AS line, r.b FROM r JOIN files f ON f.id = r.a WHERE r.n = 1 AND EXISTS (SELECT 1 FROM r s WHERE s.a = r.b AND s.b = r.a)""", "{file} and {b} import each other"),
+WITH certain AS (SELECT from_unit, to_unit, min(source_id) AS line FROM dependency_facts WHERE certainty = 'certified' GROUP BY from_unit, to_unit)
+SELECT f.path AS file, x.line, x.from_unit, x.to_unit FROM certain x JOIN certain y ON y.from_unit = x.to_unit AND y.to_unit = x.from_unit JOIN files f ON f.id = x.from_unit
+WHERE x.from_unit < x.to_unit""", "direct dependency cycle between {from_unit} and {to_unit}"),
         Rule("R15_slice_sprawl", """
 SELECT f.path AS file, e.name, min(e.start_byte) AS line, count(DISTINCT t.community_id) AS communities FROM entities e JOIN files f ON f.id = e.file_id
 JOIN edges d ON d.from_file_id = e.file_id AND d.resolved = 1 AND d.id % 1000 BETWEEN e.start_byte AND e.end_byte JOIN files t ON t.id = d.to_file_id
@@ -131,8 +133,8 @@ SELECT name, line_span, cyclomatic, count(*) AS members, min(id) AS line FROM en
         Rule("R21_function_cap", "SELECT f.path AS file, e.id AS line, e.cyclomatic * e.line_span AS debt FROM entities e JOIN files f ON f.id = e.file_id WHERE e.kind = 1 AND e.cyclomatic * e.line_span > :cap ORDER BY debt DESC, line", parameters={"cap": 500}),
         Rule("R22_scope_mean", "SELECT language AS file, 1 AS line, avg(100 - complexity) AS mean FROM files WHERE churn IS NOT NULL GROUP BY language HAVING avg(100 - complexity) < :floor", parameters={"floor": 90}),
         Rule("R23_unscored_share", """
-SELECT language AS file, 1 AS line, sum(CASE WHEN is_tooling_path THEN 1 ELSE 0 END) AS unscored, count(*) AS n, 5 * sum(CASE WHEN is_tooling_path THEN 1 ELSE 0 END) > count(*) AS blocking
-FROM files GROUP BY language HAVING 20 * sum(CASE WHEN is_tooling_path THEN 1 ELSE 0 END) > count(*)"""),
+WITH tokens AS (SELECT language, CAST(sum(CASE WHEN is_tooling_path OR churn = 0 THEN complexity ELSE 0 END) AS BIGINT) AS unscored, CAST(sum(complexity) AS BIGINT) AS n FROM files GROUP BY language)
+SELECT language AS file, 1 AS line, unscored, n FROM tokens WHERE 10 * unscored > n"""),
         Rule("R24_suppressed", "SELECT language AS file, 1 AS line, CAST(sum(CASE WHEN churn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS suppressed FROM files GROUP BY language HAVING sum(CASE WHEN churn = 0 THEN 1 ELSE 0 END) > 0"),
     )
 }

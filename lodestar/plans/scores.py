@@ -62,22 +62,11 @@ def _(t):
 
 
 @query("A36_rank_intervals", """
-WITH r AS (SELECT c_custkey AS i, c_acctbal - 50 AS lo, c_acctbal + 50 AS hi FROM customer WHERE c_custkey < 200)
+WITH r AS (SELECT c_custkey AS i, c_acctbal - 50 AS lo, c_acctbal + 50 AS hi FROM customer)
 SELECT a.i, 1 + count(*) FILTER (WHERE b.lo > a.hi) AS best, (SELECT count(*) FROM r) - count(*) FILTER (WHERE b.hi < a.lo) AS worst FROM r a, r b GROUP BY a.i""")
 def _(t):
-    r = t.customer.filter("c_custkey < 200").select(F.col("c_custkey").alias("i"), (F.col("c_acctbal") - 50).alias("lo"), (F.col("c_acctbal") + 50).alias("hi"))
-    from pyspark.sql import Window
-
-    # ranks by two sorted passes instead of a product: how many lows are above my high, how many highs below my low
-    points = r.select("i", F.col("hi").alias("v"), F.lit("hi").alias("k")).union(r.select("i", "lo", F.lit("lo")))
-    better, worse = F.count_if(F.col("k") == "lo").over(Window.orderBy(F.col("v").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.count_if(F.col("k") == "hi").over(Window.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = points.withColumn("better", better).withColumn("worse", worse).withColumn("n", F.count("*").over(Window.partitionBy()) / 2)
-    same_lo = points.filter("k = 'lo'").groupBy("v").agg(F.count("*").alias("same_lo"))
-    same_hi = points.filter("k = 'hi'").groupBy("v").agg(F.count("*").alias("same_hi"))
-    full = marked.join(same_lo, "v", "left").join(same_hi, "v", "left")
-    best = full.filter("k = 'hi'").select("i", (1 + F.col("better") - F.coalesce("same_lo", F.lit(0))).alias("best"))
-    worst = full.filter("k = 'lo'").select("i", (F.col("n") - F.col("worse") + F.coalesce("same_hi", F.lit(0))).cast("long").alias("worst"))
-    return best.join(worst, "i")
+    r = t.customer.select(F.col("c_custkey").alias("i"), (F.col("c_acctbal") - 50).alias("lo"), (F.col("c_acctbal") + 50).alias("hi"))
+    return stats.rank_intervals(r, "i", "lo", "hi")
 
 
 @query("A37_kendall_tau", """
@@ -103,10 +92,9 @@ def _(t):
 
 
 @query("A68_digest_fold", """
-SELECT doc_id, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || chr(0) || CAST(quality AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT) % 5 AS f15 FROM labels""")
+SELECT doc_id, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || chr(0) || CAST(quality AS VARCHAR)), 1, 16) AS UBIGINT) % 5 AS INTEGER) AS fold FROM labels""")
 def _(t):
-    text = F.concat_ws("\0", F.col("doc_id").cast("string"), F.col("quality").cast("string"))
-    return t.labels.select("doc_id", (F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)") % 5).cast("long").alias("f15"))
+    return t.labels.select("doc_id", stats.digest_fold([F.col("doc_id"), F.col("quality")], 5).alias("fold"))
 
 
 @query("A47_largest_remainder", """

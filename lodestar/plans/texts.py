@@ -19,7 +19,7 @@ s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 def scored(t, limit=None):
     q = t.benchmark.select("item_id", F.explode(T.terms(F.coalesce("text", F.lit("")))).alias("term"))
     docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return T.bm25(T.postings(docs, "doc_id", "text"), T.index_totals(docs, "text"), q, "doc_id", "item_id", limit)
+    return T.bm25(T.postings(docs, "doc_id", "text", q.filter(F.length("term") >= 3)), T.index_totals(docs, "text"), q, "doc_id", "item_id", limit)
 
 
 @query("T01_bm25", _BM25 + " SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 10")

@@ -183,7 +183,7 @@ def test_source_tree_and_front_matter(spark, tmp_path):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text("x")
     found = sources.source_tree(spark, str(tmp_path)).select("path", sources.language(F.col("path")).alias("l")).collect()
-    assert sorted((r.path.rsplit("/", 1)[1], r.l) for r in found) == [("a.py", "python"), ("e.go", "go")]
+    assert sorted((r.path, r.l) for r in found) == [("a.py", "python"), ("d/e.go", "go")]
     fields, body = sources.front_matter(F.col("t"))
     df = spark.createDataFrame([("---\na: 1\n---\nbody",), ("plain",)], "t string").select(fields.alias("f"), body.alias("b"))
     assert [tuple(r) for r in df.collect()] == [("a: 1", "body"), (None, "plain")]
