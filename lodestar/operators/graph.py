@@ -248,7 +248,7 @@ def communities(edges: DataFrame, group: str = "component") -> DataFrame:
 
 
 def module_depths(edges: DataFrame, hop_limit: int = 12, expansion_cap: int = 20_000, group: str = "module") -> DataFrame:
-    """node, depth and capped: the longest simple path from each node within its module, up to the hop limit."""
+    """node, depth and capped: the longest simple path from each node within its module; capped where the hop limit or the expansion cap ended the walk."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         after = defaultdict(set)
@@ -263,8 +263,7 @@ def module_depths(edges: DataFrame, hop_limit: int = 12, expansion_cap: int = 20
                 spent += 1
                 best = max(best, len(seen) - 1)
                 if best >= hop_limit or spent > expansion_cap:
-                    capped = spent > expansion_cap
-                    best = hop_limit if capped else best
+                    capped, best = True, hop_limit
                     break
                 stack += [(n, seen | {n}) for n in after[at] if n not in seen]
             rows.append((start, best, capped))
@@ -273,30 +272,82 @@ def module_depths(edges: DataFrame, hop_limit: int = 12, expansion_cap: int = 20
     return edges.groupBy(group).applyInPandas(walk, "node long, depth int, capped boolean")
 
 
+def immediate_dominators(after: dict, starts: list) -> dict:
+    """For each node reachable from the starts, the last node before it that every way to it passes; None where there is no single one."""
+    order, seen = [], set()
+    for start in starts:
+        stack = [(start, iter(sorted(after.get(start, ()))))] if start not in seen else []
+        seen.add(start)
+        while stack:
+            at, rest = stack[-1]
+            for n in rest:
+                if n not in seen:
+                    seen.add(n)
+                    stack.append((n, iter(sorted(after.get(n, ())))))
+                    break
+            else:
+                order.append(at)
+                stack.pop()
+    place = {v: i for i, v in enumerate(order)}
+    place[None] = len(order)  # the start of all starts
+    before = defaultdict(list)
+    for v in order:
+        for n in after.get(v, ()):
+            before[n].append(v)
+    for v in starts:
+        before[v].append(None)
+    above: dict = {}
+
+    def meet(x, y):
+        while x != y:
+            if place[x] < place[y]:
+                x = above[x]
+            else:
+                y = above[y]
+        return x
+
+    changed = True
+    while changed:
+        changed = False
+        for v in reversed(order):
+            known = [p for p in before[v] if p is None or p in above]
+            now = known[0]
+            for p in known[1:]:
+                now = meet(now, p)
+            if above.get(v, v) != now:
+                above[v], changed = now, True
+    return above
+
+
 def dominated(edges: DataFrame, group: str = "module") -> DataFrame:
-    """root and node: private nodes that no entry reaches without the root; edges: src, dst, src_private, dst_private."""
+    """root and node: private nodes that no entry reaches without the root; edges: src, dst, src_private, dst_private.
+
+    A module is one task, whose work is its edges and its result: roots are read off the dominator tree, and for what no
+    entry reaches they are all that lead to it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        after, private = defaultdict(set), {}
+        after, before, private = defaultdict(set), defaultdict(set), {}
         for a, b, pa_, pb in zip(pdf["src"], pdf["dst"], pdf["src_private"], pdf["dst_private"]):
             after[a].add(b)
+            before[b].add(a)
             private[a], private[b] = bool(pa_), bool(pb)
-        entries = [v for v in private if not private[v]]
-
-        def reached(starts, without):
-            seen, todo = set(), deque(s for s in starts if s != without)
-            while todo:
-                v = todo.popleft()
-                if v not in seen:
-                    seen.add(v)
-                    todo.extend(n for n in after[v] if n != without and n not in seen)
-            return seen
-
+        above = immediate_dominators(after, sorted(v for v in private if not private[v]))
         rows = []
-        for root in sorted(private):
-            below = reached([root], None) - {root}
-            other = reached([e for e in entries if e != root], root)
-            rows += [(root, v) for v in sorted(below) if private[v] and v not in other]
+        for v in sorted(v for v in private if private[v]):
+            if v in above:
+                at = above[v]
+                while at is not None:
+                    rows.append((at, v))
+                    at = above[at]
+            else:
+                todo, seen = deque(before[v]), set()
+                while todo:
+                    x = todo.popleft()
+                    if x not in seen:
+                        seen.add(x)
+                        todo.extend(before[x] - seen)
+                rows += [(x, v) for x in sorted(seen - {v})]
         return pd.DataFrame(rows, columns=["root", "node"]).astype("int64")
 
     return edges.groupBy(group).applyInPandas(run, "root long, node long")

@@ -89,3 +89,31 @@ def test_symbol_impact_and_unique_suffixes(spark):
     files = spark.createDataFrame([(1, "a/x.py"), (2, "b/x.py"), (3, "b/y.py"), (4, "xy.py")], "id long, path string")
     asked = spark.createDataFrame([("x.py",), ("b/x.py",), ("y.py",), ("z.py",)], "wanted string")
     assert {r.wanted: r.id or r.error for r in relational.unique_suffix(files, asked, "path", "id").collect()} == {"x.py": "ambiguous_path", "b/x.py": 2, "y.py": 3, "z.py": "file_not_found"}
+
+
+def test_dominated_and_depths_equal_brute_force(spark):
+    rng = random.Random(9)
+
+    def reach(starts, edges, without=None):
+        seen, todo = set(), [s for s in starts if s != without]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += [b for a, b in edges if a == v and b != without]
+        return seen
+
+    def longest(at, edges, seen):
+        return max((1 + longest(b, edges, seen | {b}) for a, b in edges if a == at and b not in seen), default=0)
+
+    for n, m in ((7, 9), (12, 16), (12, 30)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        private = {v: rng.random() < 0.7 for v in range(n)}
+        nodes = {v for e in edges for v in e}
+        df = spark.createDataFrame([(a, b, private[a], private[b], 0) for a, b in sorted(edges)], "src long, dst long, src_private boolean, dst_private boolean, module int")
+        entries = [v for v in nodes if not private[v]]
+        want = {(r, v) for r in nodes for v in reach([r], edges) - {r} if private[v] and v not in reach([e for e in entries if e != r], edges, r)}
+        assert {(r.root, r.node) for r in graph.dominated(df).collect()} == want
+        depth = {v: longest(v, edges, {v}) for v in nodes}
+        got = {r.node: (r.depth, r.capped) for r in graph.module_depths(df, hop_limit=5).collect()}
+        assert got == {v: (min(d, 5), d >= 5) for v, d in depth.items()}
