@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
 DataFrame; it is written as Parquet and read again as the next one's docs.  All but the last
 return the columns of documents.
+
+Defined results, for every stage: a null text counts as empty and comes out as the empty text; other columns than those of
+documents are left behind, whatever their names; missing lang or source stay null; n_chars is always counted anew; an empty
+table gives an empty one; texts of any length are taken whole.  Rows, not doc_ids, go through: rows without a doc_id and
+repeated rows are classified, cleaned and redacted one by one, and line dedup counts a doc_id once and leaves rows without one as
+they are.  What the join makes of repeats and ties is said at its stage.  Packing returns pieces, with a null doc_id where there was none.
 """
 
 from __future__ import annotations
