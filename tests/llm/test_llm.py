@@ -256,6 +256,17 @@ def test_long_chain_and_null_turns(spark):
     assert got == {5: list(map(str, range(130))), 6: [""]}
 
 
+def test_conversations_that_are_empty_repeat_or_clash(spark):
+    schema = "conv_id long, turn int, role string, text string"
+    none = chat.format_conversations(spark.createDataFrame([], schema)).collect()
+    assert [r.conv_id for r in none] == [-1]
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "yes"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in ("tree", "node", "jump", "rank", "parent", "score", "depth")})
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert got[1].n_turns == 2 and got[1].turns_sha256 == sha("user\n\nassistant\nyes\n")
+    assert got[2].n_turns == 3 and got[2].loss_sha256 == sha("bb")
+
+
 # 5 best-fit packing
 
 
@@ -400,6 +411,7 @@ def test_interleave_real_pages(spark):
 # 7 document fingerprints
 
 
+
 def brute_signatures(text):
     import re
 
@@ -654,6 +666,13 @@ def test_quality_without_labels(docs, spark):
     assert {r.score for r in quality.score_documents(docs, labels(spark).filter("quality = 1")).collect()} == {1.0}
 
 
+def test_quality_of_odd_rows(odd, spark):
+    got = {r.doc_id: r for r in quality.score_documents(odd, labels(spark)).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].score == got[2].score and None in got and got[None].held_out is None
+    assert Counter(r.doc_id for r in quality.good_documents(odd, labels(spark).filter("false")).collect()) == Counter(r[0] for r in ODD)
+    assert quality.score_documents(spark.createDataFrame([(1, "word " * 500_000)], "doc_id long, text string"), labels(spark)).count() == 1
+
+
 # 10 BPE
 
 
@@ -687,6 +706,34 @@ def test_near_copies_go_by_rows(spark):
     assert got == Counter([(1, text("a")), (2, text("b")), (3, text("c") + " end"), (None, text("d")), (4, ""), (5, " "), (None, ""), (None, "")])
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, "en" if i else None, None) for i, t, *_ in ODD]
+    clash = {c: F.lit("clash") for c in ("row", "h", "cls", "component_id", "kept", "drop", "n_lines", "spans", "x", "score", "length")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(0).cast("long")).withColumns(clash)
+    labels(spark).filter("false").write.parquet(f"{tmp_path}/labels.parquet")  # without labels every document has the score one half, and stays
+    texts = Counter((i, t or "") for i, t, *_ in ODD)
+    for table, start in ((docs, texts), (docs.filter("false"), Counter())):
+        now, want = table, start
+        for name, stage in corpus_pipeline.STAGES:
+            got = common.materialize(stage(spark, now, str(tmp_path)), "stage")
+            if name == "best-fit packing":
+                assert Counter(r.doc_id for r in got.filter("piece = 0").collect()) == Counter(i for i, _ in want.elements())
+                continue
+            assert got.columns == list(corpus_pipeline.COLUMNS) and got.filter("n_chars != length(text)").count() == 0
+            have = Counter((r.doc_id, r.text) for r in got.collect())
+            if name in ("quality classifier", "line dedup"):
+                assert have == want  # no line is in five documents
+            elif name == "n-gram Jaccard join":
+                assert have == (Counter([(i, t or "") for i, t in {(i, t) for i, t, *_ in ODD} if (i, t) != (5, "one")]) if start else Counter())
+            elif start:
+                assert {(i, t) for i, t in have if i != 8} == {(i, t) for i, t in want if i != 8} and [t for i, t in have if i == 8] == ["[SECRET]\" [SECRET]"]
+            else:
+                assert not have
+            now, want = got, have
+
+
 def test_pipeline_stages_follow_brute_force(spark, docs, known):
     import corpus_pipeline
 
