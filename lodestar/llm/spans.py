@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,34 +104,43 @@ def spans(cut: list[tuple[int, int, int, int]], both_ends: bool = False) -> tupl
 
 
 def span_rows(docs: DataFrame, both_ends: bool = False) -> DataFrame:
-    """h and doc_id of the different spans of every document."""
+    """h and doc_id of the different spans of every document, and one row without h for a document that repeats one itself."""
 
     def work(batch):
-        ids, hs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        ids, hs, again = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            h = np.unique(spans(sentences(text), both_ends)[2])
+            every = spans(sentences(text), both_ends)[2]
+            h = np.unique(every)
             ids.append(np.full(h.size, doc, np.int64)), hs.append(h)
-        return {"h": np.concatenate(hs), "doc_id": np.concatenate(ids)}
+            if h.size < every.size:
+                again.append(doc)
+        return {"h": pa.chunked_array([pa.array(np.concatenate(hs)), pa.nulls(len(again), pa.int64())]).combine_chunks(), "doc_id": np.concatenate([*ids, np.array(again, np.int64)])}
 
     return arrow_rows(docs, lambda: work, "h long, doc_id long")
 
 
 def repeated_spans(docs: DataFrame, both_ends: bool = False) -> DataFrame:
-    """h, doc_id and origin (the first document with it) of the spans that an earlier document holds."""
+    """h, doc_id and origin (the first document with it) of the spans that an earlier document holds; null h and origin for documents that repeat a span themselves."""
     rows = materialize(span_rows(docs.filter("doc_id IS NOT NULL"), both_ends), "spans")
-    common = rows.groupBy("h").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("_last")).filter("origin < _last")
+    common = rows.filter("h IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("_last")).filter("origin < _last")
     common = materialize(common.select("h", "origin"), "span-origins")
-    return rows.join(common, "h").filter("doc_id > origin")
+    own = rows.filter("h IS NULL").select("h", "doc_id", F.lit(None).cast("long").alias("origin"))
+    return rows.join(common, "h").filter("doc_id > origin").select("h", "doc_id", "origin").union(own)
 
 
 def covered(cut: list[tuple[int, int, int, int]], earlier: set[int], both_ends: bool = False) -> list[bool]:
     """Which sentences lie in a span of an earlier document, or in one that the document has had before."""
-    gone, had = [False] * len(cut), set()
-    for first, n, h in zip(*(x.tolist() for x in spans(cut, both_ends))):
-        if h in earlier or h in had:
-            gone[first : first + n] = [True] * n
-        had.add(h)
-    return gone
+    first, n, h = spans(cut, both_ends)
+    hit = np.ones(h.size, bool)
+    hit[np.unique(h, return_index=True)[1]] = False
+    if earlier:
+        hit |= np.isin(h, np.fromiter(earlier, np.int64, len(earlier)))
+    if not hit.any():
+        return [False] * len(cut)
+    edges = np.zeros(len(cut) + 1, np.int64)
+    np.add.at(edges, first[hit], 1)
+    np.add.at(edges, first[hit] + n[hit], -1)
+    return (np.cumsum(edges)[:-1] > 0).tolist()
 
 
 def without(text: str, cut: list[tuple[int, int, int, int]], gone: list[bool]) -> str:
@@ -144,20 +154,25 @@ def without(text: str, cut: list[tuple[int, int, int, int]], gone: list[bool]) -
 
 
 def dedup_spans(df: DataFrame, both_ends: bool = False) -> DataFrame:
-    """doc_id, text without repeated passages, n_sentences, n_removed, removed_chars and the documents they were first in."""
+    """doc_id, text without repeated passages, n_removed (sentences), removed_chars and the documents they were first in.
+
+    Texts that hold no span of an earlier document and repeat none of their own are known from the first pass and not cut again.
+    """
     docs = texts(df)
     later = repeated_spans(docs, both_ends)
     known = later.groupBy("doc_id").agg(F.collect_set("h").alias("earlier"), F.sort_array(F.collect_set("origin")).alias("first_in"))
 
     def work(batch):
-        names = ("doc_id", "text", "n_sentences", "n_removed", "removed_chars", "first_in")
+        names = ("doc_id", "text", "n_removed", "removed_chars", "first_in")
         out: dict[str, list] = {k: [] for k in names}
         for doc, text, drop, first_in in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "earlier", "first_in"))):
-            cut = sentences(text)
-            flags = covered(cut, set(drop or ()), both_ends)
-            kept = without(text, cut, flags)
-            for k, v in zip(names, (doc, kept, len(cut), sum(flags), len(text) - len(kept), first_in or [])):
+            kept, flags = text, []
+            if drop is not None or doc is None:
+                cut = sentences(text)
+                flags = covered(cut, set(drop or ()), both_ends)
+                kept = without(text, cut, flags)
+            for k, v in zip(names, (doc, kept, sum(flags), len(text) - len(kept), first_in or [])):
                 out[k].append(v)
         return out
 
-    return arrow_rows(docs.join(known, "doc_id", "left"), lambda: work, "doc_id long, text string, n_sentences long, n_removed long, removed_chars long, first_in array<long>")
+    return arrow_rows(docs.join(known, "doc_id", "left"), lambda: work, "doc_id long, text string, n_removed long, removed_chars long, first_in array<long>")
