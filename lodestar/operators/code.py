@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ _PYTHON_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[
 _CALLS = re.compile(rf"({_WORD})\(")
 
 
+def byte_at(text: str) -> Callable[[int], int]:
+    """From a place in a text to its place in the text's UTF-8 bytes."""
+    if text.isascii():
+        return int
+    ends = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
+    return ends.__getitem__
+
+
 def entities_of(path: str, kind: str | None, text: str) -> Iterator[tuple]:
     """The entities of a file: declarations with their spans and owners, imports, and calls; none in an unknown language."""
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -63,19 +72,19 @@ def entities_of(path: str, kind: str | None, text: str) -> Iterator[tuple]:
         imports = [(m[1], m) for m in re.finditer(import_, text, re.M)]
     else:
         return
-    types = [f for f in found if f[0] in (CLASS, INTERFACE)]
+    types, byte = [f for f in found if f[0] in (CLASS, INTERFACE)], byte_at(text)
     declared = {f[2] for f in found}
     for number, name, start, end, first, last in sorted(found, key=lambda f: f[2]):
         around = [t for t in types if t[2] < start and t[3] >= end]
-        yield path, number, name, (min(around, key=lambda t: t[3] - t[2])[1] if around else None), start, end, first, last
+        yield path, number, name, (min(around, key=lambda t: t[3] - t[2])[1] if around else None), byte(start), byte(end), first, last
     for name, m in imports:
         line = text.count("\n", 0, m.start()) + 1
-        yield path, IMPORT, name, None, m.start(), m.end(), line, line
+        yield path, IMPORT, name, None, byte(m.start()), byte(m.end()), line, line
     for m in _CALLS.finditer(text):
         before = text[max(0, m.start() - 12) : m.start()].split()
         if m.start() not in declared and not (before and before[-1] in ("def", "func", "function", "class", "fn")):
             line = text.count("\n", 0, m.start()) + 1
-            yield path, CALL, m[1], None, m.start(), m.end(), line, line
+            yield path, CALL, m[1], None, byte(m.start()), byte(m.end()), line, line
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -198,18 +207,24 @@ def symbols_in_files(files: DataFrame, entities: DataFrame, wanted: DataFrame) -
 
 def pattern_regex(pattern: str) -> str:
     """A pattern with $NAME (one expression) and $$$NAME (any number of them) as a regular expression with named groups; white space is free."""
-    out, seen = [], set()
+    out, seen, gap, wordy = "", set(), False, False
     for part in re.split(r"(\$\$\$[A-Z_]*|\$[A-Z_]+|\s+)", pattern):
-        if part.startswith("$"):
+        if not part or part.isspace():
+            gap = gap or bool(part)
+            continue
+        named = part.startswith("$")
+        if out:
+            # words apart stay apart, all other white space is free
+            out += r"\s+" if gap and wordy and (named or re.match(r"\w", part)) else r"\s*"
+        if named:
             name = part.strip("$") or "REST"
             body = r"[^\n]*?" if part.startswith("$$$") else r"[\w.\[\]'\"]+(?:\([^()\n]*\))?"
-            out.append(f"(?P={name})" if name in seen else f"(?P<{name}>{body})")
+            out += f"(?P={name})" if name in seen else f"(?P<{name}>{body})"
             seen.add(name)
-        elif part.isspace():
-            out.append(r"\s*")
         else:
-            out.append(r"\s*".join(map(re.escape, re.findall(r"\w+|[^\w\s]", part))))
-    return "".join(out)
+            out += r"\s*".join(map(re.escape, re.findall(r"\w+|[^\w\s]", part)))
+        gap, wordy = False, named or bool(re.search(r"\w$", part))
+    return out
 
 
 def find_pattern(files: DataFrame, pattern: str, languages: list[str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -221,7 +236,8 @@ def find_pattern(files: DataFrame, pattern: str, languages: list[str] | None = N
 
         find = re.compile(source)
         for batch in batches:
-            rows = [(p, m.start(), t.count("\n", 0, m.start()) + 1, m[0], sorted(m.groupdict().items())) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for m in find.finditer(t or "")]
+            texts = [(p, t or "") for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist())]
+            rows = [(p, byte(m.start()), t.count("\n", 0, m.start()) + 1, m[0], sorted(m.groupdict().items())) for p, t in texts for byte in (byte_at(t),) for m in find.finditer(t)]
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "start_byte", "line", "text", "captures"])
 

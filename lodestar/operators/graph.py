@@ -469,3 +469,10 @@ def rolled_up(tree: DataFrame) -> DataFrame:
     below = closure(tree.select(F.col("parent").alias("src"), F.col("node").alias("dst")), tree.select(F.col("node").alias("start"))).select(F.col("start").alias("root"), "node")
     every = below.union(tree.select("node", "node"))
     return every.join(tree.select("node", "done"), "node").groupBy("root").agg(F.count("*").alias("total"), F.count_if("done").alias("done"))
+
+
+def route_costs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """root, pointers (other nodes reached), depth of the farthest and tokens of all of them with the root, for every node (node, tokens)."""
+    reached = closure(edges, nodes.select(F.col("node").alias("start"))).unionByName(nodes.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")))
+    costed = reached.join(nodes, "node")
+    return costed.groupBy(F.col("start").alias("root")).agg((F.count("*") - 1).alias("pointers"), F.max("depth").alias("depth"), F.sum("tokens").cast("long").alias("tokens"))

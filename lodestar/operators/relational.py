@@ -206,3 +206,51 @@ def unique_suffix(files: DataFrame, wanted: DataFrame, path: str, key: str) -> D
     counts = hits.groupBy("wanted").agg(F.count("*").alias("_n"), F.min(key).alias(key))
     found = wanted.join(counts, "wanted", "left")
     return found.select("wanted", F.when(F.col("_n") == 1, F.col(key)).alias(key), F.when(F.col("_n").isNull(), "file_not_found").when(F.col("_n") > 1, "ambiguous_path").alias("error"))
+
+
+def planned_rewrites(targets: DataFrame, file: str, start: str, end: str) -> DataFrame:
+    """Adds applied: by start, then end, a target is applied unless it begins before the end of one applied before it in its file.
+
+    Files are sorted within partitions and streamed: a task holds a batch and the last end, however many targets a file has.
+    """
+
+    def choose(batches):
+        import pyarrow as pa
+
+        at, last = None, 0
+        for batch in batches:
+            kept = []
+            for f, s, e in zip(*(batch.column(c).to_pylist() for c in (file, start, end))):
+                if at is None or at[0] != f:
+                    at, last = (f,), 0
+                kept.append(s >= last)
+                last = max(last, e) if kept[-1] else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], [*batch.schema.names, "applied"])
+
+    from pyspark.sql.types import BooleanType, StructType
+
+    schema = StructType(list(targets.schema.fields)).add("applied", BooleanType())
+    return targets.repartition(file).sortWithinPartitions(file, start, end).mapInArrow(choose, schema)
+
+
+def fenced(events: DataFrame, slot: str, order: list[str], claim: Column, epoch: Column) -> DataFrame:
+    """Adds current, the number of claims of a slot so far, and accepted: whether an event's epoch is that number."""
+    w = Window.partitionBy(slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("current", F.count_if(claim).over(w)).withColumn("accepted", claim | (epoch == F.col("current")))
+
+
+def append_only_violations(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of rows that an append-only table lost (deleted) or that have other values now (updated)."""
+    values = [c for c in old.columns if c not in keys]
+    both = old.select(*keys, F.struct(*values).alias("_old")).join(new.select(*keys, F.struct(*values).alias("_new"), F.lit(True).alias("_in")), keys, "left")
+    status = F.when(F.col("_in").isNull(), "deleted").when(~F.col("_old").eqNullSafe(F.col("_new")), "updated")
+    return both.select(*keys, status.alias("violation")).filter("violation IS NOT NULL")
+
+
+def refreshed(index: DataFrame, old: DataFrame, new: DataFrame, sources: DataFrame, build, key: str, value: str) -> DataFrame:
+    """An index after its sources changed: entries of deleted and changed keys go, and ``build`` runs over new and changed sources only."""
+    from ..sources import manifest_diff
+
+    diff = manifest_diff(old, new, key, value)
+    kept = index.join(diff.filter("status = 'unchanged'").select(key), key, "left_semi")
+    return kept.unionByName(build(sources.join(diff.filter("status IN ('new', 'changed')").select(key), key, "left_semi")))

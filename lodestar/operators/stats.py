@@ -263,3 +263,102 @@ def next_pairs(items: DataFrame, group: str, item: str, rating: str, error: str,
     score = F.hypot("_ex", "_ey") / (1 + F.exp(F.abs(F.col("_rx") - F.col("_ry"))))
     w = Window.partitionBy(group).orderBy(F.desc(F.round(score, 9)), "x", "y")
     return pairs.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).select(group, "x", "y")
+
+
+def agreement_report(labels: DataFrame, unit: str, rater: str, choice: str) -> DataFrame:
+    """left, right, n, observed, expected and kappa of every two raters over the units that both labelled.
+
+    Labels are the latest of their rater and unit; pairs are made inside a unit, whose raters are a panel, and summed by choice
+    before anything else is done.
+    """
+    a, b = (labels.select(F.col(unit).alias("u"), F.col(rater).alias(r), F.col(choice).alias(c)) for r, c in (("left", "a"), ("right", "b")))
+    pairs = a.join(b, "u").filter("`left` < `right`").groupBy("left", "right", "a", "b").agg(F.count("*").alias("c"))
+    rows, columns = (pairs.groupBy("left", "right", F.col(x).alias("k")).agg(F.sum("c").alias(f"n{x}")) for x in "ab")
+    chance = rows.join(columns, ["left", "right", "k"]).groupBy("left", "right").agg(F.sum(F.col("na") * F.col("nb")).alias("ab"))
+    total = pairs.groupBy("left", "right").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0)).alias("same"))
+    po, pe = F.col("same") / F.col("n"), F.coalesce("ab", F.lit(0)) / (F.col("n") * F.col("n"))
+    out = total.join(chance, ["left", "right"], "left").select("left", "right", "n", po.alias("observed"), pe.alias("expected"))
+    po, pe = F.col("observed"), F.col("expected")
+    return out.withColumn("kappa", F.when(pe == 1, F.when(po == 1, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe)))
+
+
+def validation_record(pairs: DataFrame, by: str, label: Column, predicted: Column, day: Column) -> DataFrame:
+    """For each value of ``by``: labels, how many the scores foretell, the share with its Wilson bounds, and the last day of labels."""
+    g = pairs.groupBy(by).agg(F.count("*").alias("n"), F.count_if(label == predicted).alias("hits"), F.max(day).alias("last_day"))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return g.select(by, "n", "hits", (F.col("hits") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), "last_day")
+
+
+def preference_fit(matches: DataFrame, items: DataFrame, item: str, components: list[str], l2: float = 1.0, rounds: int = 100) -> tuple[list[dict], DataFrame]:
+    """Weights of items' components in who wins (matches: x, y, outcome x, y or tie), and the standardised items.
+
+    Items are standardised once by their means and population deviations, constant components weigh nothing; then Newton's steps of the penalised
+    logistic likelihood.  A step is one aggregate over all matches, of which only its sums reach the driver.
+    Each weight has component, weight, standard_error, low, high (1.96 errors), mean and scale.
+    """
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in components}
+    seen = items.agg(*(F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(components)), *(F.stddev_pop(value[c]).alias(f"s{i}") for i, c in enumerate(components))).first()
+    mean = {c: seen[f"m{i}"] or 0.0 for i, c in enumerate(components)}
+    scale = {c: seen[f"s{i}"] or 0.0 for i, c in enumerate(components)}
+    active = [c for c in components if scale[c] > 0]
+    scaled = items.select(item, *((value[c] - mean[c]).alias(c) if c not in active else ((value[c] - mean[c]) / scale[c]).alias(c) for c in components))
+    side = lambda s: scaled.select(F.col(item).alias(s), *(F.col(c).alias(f"_{s}{i}") for i, c in enumerate(active)))
+    target = F.when(F.col("outcome") == "tie", 0.5).otherwise((F.col("outcome") == "x").cast("double"))
+    d = matches.join(side("x"), "x").join(side("y"), "y").select(target.alias("t"), *((F.col(f"_x{i}") - F.col(f"_y{i}")).alias(f"d{i}") for i in range(len(active))))
+    k, w = len(active), np.zeros(len(active))
+
+    def sums(w):
+        z = sum((F.col(f"d{i}") * float(w[i]) for i in range(k)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        at = [F.sum((F.col("t") - p) * F.col(f"d{i}")) for i in range(k)]
+        at += [F.sum(p * (1 - p) * F.col(f"d{i}") * F.col(f"d{j}")) for i in range(k) for j in range(i, k)]
+        got = [x or 0.0 for x in d.agg(*(a.alias(f"a{n}") for n, a in enumerate(at))).first()]
+        h, rest = l2 * np.eye(k), iter(got[k:])
+        for i in range(k):
+            for j in range(i, k):
+                h[i, j] += next(rest)
+                h[j, i] = h[i, j]
+        return np.array(got[:k]) - l2 * w, h
+
+    error = np.zeros(k)
+    if k:
+        for _ in range(rounds):
+            g, h = sums(w)
+            step = np.linalg.solve(h, g)
+            w = w + step
+            if np.abs(step).max() < 1e-10:
+                break
+        error = np.sqrt(np.diag(np.linalg.inv(sums(w)[1])))
+    fitted = {c: (float(w[i]), float(error[i])) for i, c in enumerate(active)}
+    out = []
+    for c in components:
+        b, e = fitted.get(c, (0.0, 0.0))
+        out.append({"component": c, "weight": b, "standard_error": e, "low": b - 1.96 * e, "high": b + 1.96 * e, "mean": float(mean[c]), "scale": float(scale[c])})
+    return out, scaled
+
+
+def tuned_strengths(versions: DataFrame, components: list[str], grid: list[int], start: dict[str, int], margin: int = 0, rounds: int = 10) -> tuple[dict[str, int], int]:
+    """Strengths of components, one coordinate after another, that leave the fewest samples whose target isn't ahead; and how many are left.
+
+    versions: sample, target (boolean) and a cost for each component; a version's cost is the weighted sum, and a sample's target is ahead when
+    every other version costs at least ``margin`` more.  One pass over the versions tries a whole grid, so the passes are components times rounds.
+    Of equally good strengths the one nearest to the present stays, then the smaller.
+    """
+    now = dict(start)
+
+    def failing(trials: list[dict[str, int]]) -> list[int]:
+        cost = [sum((F.col(c).cast("decimal(38,0)") * s[c] for c in components), F.lit(0).cast("decimal(38,0)")) for s in trials]
+        ahead = versions.groupBy("sample").agg(*(F.max(F.when(F.col("target"), c)).alias(f"t{i}") for i, c in enumerate(cost)), *(F.min(F.when(~F.col("target"), c)).alias(f"o{i}") for i, c in enumerate(cost)))
+        return [int(x or 0) for x in ahead.agg(*(F.count_if(F.col(f"o{i}") < F.col(f"t{i}") + margin) for i in range(len(trials)))).first()]
+
+    best = failing([now])[0]
+    for _ in range(rounds):
+        before = dict(now)
+        for c in components:
+            tried = sorted({*grid, now[c]}, key=lambda s: (abs(s - now[c]), s))
+            found = failing([{**now, c: s} for s in tried])
+            if min(found) < best:
+                best, now = min(found), {**now, c: tried[found.index(min(found))]}
+        if now == before:
+            break
+    return now, best

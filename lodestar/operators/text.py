@@ -376,3 +376,50 @@ def fused_candidates(indexes: list[DataFrame], key: str, score: str, most: int =
         top = df.orderBy(F.desc(score), key).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key))).select(key, "rank")
         ranked = top if ranked is None else ranked.union(top)
     return fuse(ranked, [key], k)
+
+
+def line_blocks(df: DataFrame, key: str, text: str, most_lines: int = 80, most_bytes: int = 256 * 1024, longest: int = 1024 * 1024) -> DataFrame:
+    """key, base (lines before it), lines and too_long: blocks that end once they hold ``most_lines`` lines or ``most_bytes`` bytes.
+
+    Bytes are UTF-8 with line ends.  A text that has a line of more than ``longest`` bytes gives one row, too_long, without lines, as nothing
+    of it may be kept; null and empty texts give none.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out: list[tuple] = []
+            for k, t in zip(pdf[key], pdf[text]):
+                block, size, n, mine = [], 0, 0, []
+                for line in re.findall(r"[^\n]*\n|[^\n]+\Z", t or ""):
+                    width = len(line.encode())
+                    if width > longest:
+                        mine, block = [(k, n, [], True)], []
+                        break
+                    block.append(line.rstrip("\r\n"))
+                    n, size = n + 1, size + width
+                    if len(block) >= most_lines or size >= most_bytes:
+                        mine.append((k, n - len(block), block, False))
+                        block, size = [], 0
+                out += [*mine, (k, n - len(block), block, False)] if block else mine
+            yield pd.DataFrame(out, columns=["key", "base", "lines", "too_long"]).rename(columns={"key": key})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, base int, lines array<string>, too_long boolean")
+
+
+def rendered(template: str, evidence: dict[str, Column]) -> Column:
+    """A template with the {names} of the evidence replaced by its values (booleans as true and false); other braces, and nulls' names, stay."""
+    parts = re.split(r"(\{\w+\})", template)
+    named = lambda p: F.coalesce(evidence[p[1:-1]].cast("string"), F.lit(p)) if p[1:-1] in evidence and p[:1] == "{" else F.lit(p)
+    return F.concat(*(named(p) for p in parts if p)) if template else F.lit("")
+
+
+def redacted_spans(df: DataFrame, key: str, text: str, extra: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """key, start, end (UTF-8 bytes) and name of the secrets in texts."""
+
+    def run(batches):
+        rules = [(n, re.compile(p)) for n, p in (*PATTERNS, *extra)]
+        for pdf in batches:
+            rows = [(k, *span) for k, t in zip(pdf[key], pdf[text]) for span in redaction(t or "", rules)[1]]
+            yield pd.DataFrame(rows, columns=[key, "start", "end", "name"])
+
+    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, start long, end long, name string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, events, index, more, reports, rules, scores, texts  # noqa: F401
+from . import audits, events, further, index, more, reports, rules, scores, texts  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
