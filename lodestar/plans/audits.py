@@ -44,10 +44,13 @@ def _(t):
 
 
 @query("T26_text_audit", r"""
-SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*([-*+]|\d+[.)])\s'))) AS bullets FROM documents WHERE NOT contains(text, '```')""")
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(?s)```.*?```', ' ', 'g') AS t FROM documents),
+l AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS lines FROM d),
+s AS (SELECT doc_id, t, lines, list_filter(string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n{2,}'), lambda x: trim(x) <> '') AS sentences FROM l),
+w AS (SELECT *, coalesce(list_max([len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) for x in sentences]), 0) AS longest, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*([-*+]|\d+[.)])\s'))) AS bullets FROM s)
+SELECT doc_id, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS words, len(sentences) AS sentences, longest, longest > 30 AS too_long, bullets, len(list_filter(lines, lambda x: regexp_matches(x, '^#{1,6}\s'))) AS headings, bullets * 2 > len(lines) AS list_like FROM w""")
 def _(t):
-    d = t.documents.filter(~F.col("text").contains("```")).select("doc_id", P.text_audit(F.col("text")).alias("a"))
-    return d.select("doc_id", "a.words", "a.bullets")
+    return t.documents.select("doc_id", P.text_audit(F.coalesce("text", F.lit(""))).alias("a")).select("doc_id", "a.*")
 
 
 @query("T11_field_search", """

@@ -438,10 +438,10 @@ def _(t):
     return t.events.join(F.broadcast(ids), "event_id", "left_anti").select("event_id")
 
 
-@query("SK12_checksums", "SELECT l_returnflag, count(*) AS n, sha256(string_agg(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey)) IS NOT NULL AS sealed, CAST(sum(l_partkey % 1000) AS BIGINT) AS checksum FROM lineitem GROUP BY 1")
+@query("SK12_checksums", "SELECT l_returnflag, count(*) AS n, bit_xor(CAST(('0x' || substr(sha256(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)), 1, 15)) AS BIGINT)) AS seal FROM lineitem GROUP BY 1")
 def _(t):
-    g = t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")).alias("x"), F.sum(F.col("l_partkey") % 1000).alias("checksum"))
-    return g.select("l_returnflag", "n", F.col("x").isNotNull().alias("sealed"), "checksum")
+    digest = F.sha2(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey"), 256)
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).alias("seal"))
 
 
 @query("T16_strip_ansi", "SELECT item_id, sha256(text) AS digest FROM benchmark")

@@ -229,11 +229,11 @@ def _(t):
 
 
 @query("A78_reach", """
-SELECT l_orderkey, list_sort(list_distinct(list(l_partkey) FILTER (WHERE l_returnflag <> 'R'))) IS NOT NULL AS has_reach, count(DISTINCT l_partkey) FILTER (WHERE l_returnflag <> 'R') AS reach FROM lineitem GROUP BY 1""")
+SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_partkey) FILTER (WHERE l_returnflag <> 'R'))), ',') AS reach FROM lineitem GROUP BY 1""")
 def _(t):
     kept = F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))
-    g = t.lineitem.groupBy("l_orderkey").agg(F.countDistinct(kept).alias("reach"))
-    return g.select("l_orderkey", (F.col("reach") > 0).alias("has_reach"), "reach")
+    g = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(kept)).alias("reach"))
+    return g.select("l_orderkey", F.when(F.size("reach") > 0, F.array_join(F.col("reach").cast("array<string>"), ",")).alias("reach"))
 
 
 @query("F12_fixed_decimals", "SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(30,6)) * 1000000 AS BIGINT) AS micro FROM supplier")

@@ -62,10 +62,9 @@ def _(t):
     return t.part.select("p_partkey", F.levenshtein("p_name", F.lit("red widget")).alias("d"))
 
 
-@query("T08_query_terms", "SELECT item_id, len(list_filter([regexp_replace(w, '^[^a-z0-9_.-]+|[^a-z0-9_.-]+$', '', 'g') for w in regexp_split_to_array(trim(lower(text)), '[ \\n]+')], lambda x: x <> '')) AS n FROM benchmark WHERE regexp_matches(text, '^[ -~\\n]*$')")
+@query("T08_query_terms", r"SELECT item_id, list_filter([regexp_replace(w, '^[^a-z0-9_.-]+|[^a-z0-9_.-]+$', '', 'g') for w in regexp_split_to_array(trim(lower(ascii_text)), '[ \n]+')], lambda x: x <> '') AS terms FROM (SELECT item_id, regexp_replace(text, '[^ -~\n]', 'e', 'g') AS ascii_text FROM benchmark)")
 def _(t):
-    ascii_ = t.benchmark.filter(F.col("text").rlike("^[ -~\n]*$"))
-    return ascii_.select("item_id", F.size(T.query_terms(F.col("text"))).alias("n"))
+    return t.benchmark.select("item_id", T.query_terms(F.regexp_replace("text", "[^ -~\n]", "e")).alias("terms"))
 
 
 @query("T12_distinctive_terms")
@@ -97,10 +96,10 @@ def _(t):
     return t.pages.select("page_id", F.sha2(T.tidy(F.col("html")), 256).alias("tidy"))
 
 
-@query("T19_page_title", r"SELECT page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) > 0 AS titled FROM pages")
+@query("T19_page_title", r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages WHERE NOT regexp_matches(html, '<title>[^<]*&')")
 def _(t):
-    page = t.pages.select("page_id", T.page_text("html").alias("p"))
-    return page.select("page_id", (F.coalesce(F.length("p.title"), F.lit(0)) > 0).alias("titled"))
+    plain = t.pages.filter(~F.col("html").rlike("<title>[^<]*&"))
+    return plain.select("page_id", T.page_text("html").alias("p")).select("page_id", F.nullif(F.trim("p.title"), F.lit("")).alias("title"))
 
 
 @query("T18_html_to_text")
