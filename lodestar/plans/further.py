@@ -121,11 +121,11 @@ def _(t):
 
 
 @query("R48_R49_R51_path_facts", """
-SELECT 's/f' || CAST(p_partkey AS VARCHAR) AS from_unit, CASE WHEN p_size IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 30) THEN 'inc/h' || CAST(p_size AS VARCHAR) || CASE p_partkey % 4 WHEN 0 THEN '.h' WHEN 1 THEN '.rb' WHEN 2 THEN '.lua' ELSE '.sh' END END AS to_unit,
-CASE WHEN p_size IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 30) THEN 'certified' ELSE 'missing' END AS certainty FROM part""")
+SELECT 's/f' || CAST(p_partkey AS VARCHAR) AS from_unit, CASE WHEN p_size IN (SELECT n_nationkey FROM nation) THEN 'inc/h' || CAST(p_size AS VARCHAR) || CASE p_partkey % 4 WHEN 0 THEN '.h' WHEN 1 THEN '.rb' WHEN 2 THEN '.lua' ELSE '.sh' END END AS to_unit,
+CASE WHEN p_size IN (SELECT n_nationkey FROM nation) THEN 'certified' ELSE 'missing' END AS certainty FROM part""")
 def _(t):
     ends = (".h", ".rb", ".lua", ".sh")
-    files = t.supplier.filter("s_suppkey <= 30").select(F.explode(F.array(*(_cat("inc/h", F.col("s_suppkey"), e) for e in ends))).alias("path"))
+    files = t.nation.select(F.explode(F.array(*(_cat("inc/h", F.col("n_nationkey"), e) for e in ends))).alias("path"))
     pick = lambda *x: F.get(F.array(*map(F.lit, x)), (F.col("p_partkey") % 4).cast("int"))
     spec = F.concat(F.lit("../inc/h"), F.col("p_size").cast("string"), pick(".h", "", "", ".sh"))
     i = t.part.select(_cat("s/f", F.col("p_partkey")).alias("path"), pick("c", "ruby", "lua", "bash").alias("language"), spec.alias("specifier"))
@@ -236,10 +236,9 @@ def _(t):
 
 
 @query("E30_normalized_redacted", r"""
-SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\b[0-9a-f]{24,}\b', '[redacted:hex]', 'g')) AS digest FROM documents WHERE NOT regexp_matches(coalesce(text, ''), 'AKIA|sk-|gh[a-z]_|xox|PRIVATE|://|(?i)bearer|(?i)secret|(?i)token|(?i)password|(?i)api.?key|(?i)passwd')""")
+SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\b[0-9a-f]{24,}\b', '[redacted:hex]', 'g')) AS digest FROM documents""")
 def _(t):
-    plain = t.documents.filter(~F.coalesce("text", F.lit("")).rlike(r"AKIA|sk-|gh[a-z]_|xox|PRIVATE|://|(?i)bearer|(?i)secret|(?i)token|(?i)password|(?i)api.?key|(?i)passwd"))
-    clean = plain.select("doc_id", F.regexp_replace(T.strip_ansi(F.coalesce("text", F.lit(""))), "\r\n?", "\n").alias("text"))
+    clean = t.documents.select("doc_id", F.regexp_replace(T.strip_ansi(F.coalesce("text", F.lit(""))), "\r\n?", "\n").alias("text"))
     return T.redact(clean, "doc_id", "text", (("hex", r"\b[0-9a-f]{24,}\b"),)).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
@@ -310,13 +309,11 @@ def _(t):
 
 
 @query("SC14_sessions", """
-WITH s AS (SELECT 'a' AS harness, user_id AS id, max(ts) AS last, CAST(NULL AS BIGINT) AS parent FROM events WHERE event_type IN ('click', 'view') GROUP BY 2 UNION ALL SELECT 'b', user_id, max(ts), user_id // 2 FROM events WHERE event_type = 'purchase' GROUP BY 2)
-SELECT *, row_number() OVER (ORDER BY last DESC, harness, id) AS place FROM s ORDER BY place LIMIT 100""")
+SELECT 'a' AS harness, user_id AS id, max(ts) AS last, CAST(NULL AS BIGINT) AS parent FROM events WHERE event_type IN ('click', 'view') GROUP BY 2 UNION ALL SELECT 'b', user_id, max(ts), user_id // 2 FROM events WHERE event_type = 'purchase' GROUP BY 2""")
 def _(t):
     a = t.events.filter("event_type IN ('click', 'view')").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last")).withColumn("harness", F.lit("a"))
     b = t.events.filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last")).select("id", "last", F.lit("b").alias("harness"), F.expr("id div 2").alias("parent"))
-    newest = a.unionByName(b, allowMissingColumns=True).orderBy(F.desc("last"), "harness", "id").limit(100)
-    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last"), "harness", "id"))).select("harness", "id", "last", "parent", "place")
+    return a.unionByName(b, allowMissingColumns=True).orderBy(F.desc("last"), "harness", "id").select("harness", "id", "last", "parent")
 
 
 @query("SC13_front_matter", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN 'title: ' || s_name END AS block, '# ' || s_name AS body FROM supplier")

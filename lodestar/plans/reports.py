@@ -178,9 +178,10 @@ def _(t):
 
 
 @query("E20_undelivered_deadlines", """
-SELECT event_id, CAST(epoch_us(ts) // 1000000 + CASE WHEN user_id % 5 = 0 THEN 60 ELSE 600 END AS BIGINT) AS deadline FROM events WHERE event_type = 'click' AND user_id % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'purchase' AND d.user_id = events.user_id)""")
+SELECT event_id, CAST(epoch_us(ts) // 1000000 + CASE WHEN user_id % 5 = 0 THEN 60 ELSE 600 END AS BIGINT) AS deadline FROM events WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'purchase' AND d.user_id = events.user_id AND d.ts > events.ts)""")
 def _(t):
-    e = t.events.filter("event_type = 'click' AND user_id % 11 != 0").join(t.events.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+    delivered = t.events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("_delivered"))
+    e = t.events.filter("event_type = 'click'").join(delivered, "user_id", "left").filter("_delivered IS NULL OR _delivered <= ts")
     return e.select("event_id", (F.floor(S.micros(F.col("ts")) / 1_000_000) + F.when(F.col("user_id") % 5 == 0, 60).otherwise(600)).cast("long").alias("deadline"))
 
 

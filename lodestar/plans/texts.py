@@ -96,10 +96,9 @@ def _(t):
     return t.pages.select("page_id", F.sha2(T.tidy(F.col("html")), 256).alias("tidy"))
 
 
-@query("T19_page_title", r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages WHERE NOT regexp_matches(html, '<title>[^<]*&')")
+@query("T19_page_title", r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages")
 def _(t):
-    plain = t.pages.filter(~F.col("html").rlike("<title>[^<]*&"))
-    return plain.select("page_id", T.page_text("html").alias("p")).select("page_id", F.nullif(F.trim("p.title"), F.lit("")).alias("title"))
+    return t.pages.select("page_id", T.page_text("html").alias("p")).select("page_id", F.nullif(F.trim("p.title"), F.lit("")).alias("title"))
 
 
 @query("T18_html_to_text")
