@@ -269,6 +269,14 @@ def title_of(html: str | None) -> str | None:
     return " ".join(unescape(re.sub("<[^>]*>", "", m[1])).split()) or None if m else None
 
 
+def plain_title(html: Column) -> Column:
+    """The text of the first title tag that has neither attributes nor tags inside, or null: the five entities written out, blanks as one space."""
+    title = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(name), F.lit(character))
+    return F.nullif(F.regexp_replace(F.regexp_replace(title, r"[\t\n\f\r ]+", " "), r"^\p{Zs}+|\p{Zs}+\z", ""), F.lit(""))
+
+
 def page_text(html: Column | str) -> Column:
     """Title and Markdown text of pages."""
 
