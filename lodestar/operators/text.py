@@ -307,11 +307,11 @@ def redaction(text: str, rules: list[tuple[str, re.Pattern]], values: list[str]
     return "".join([*out, text[at:]]), places
 
 
-def redact(df: DataFrame, key: str, text: str, extra: tuple[tuple[str, str], ...] = (), values: tuple[str, ...] = ()) -> DataFrame:
-    """key, text and notices (name, count) after redaction by the built-in, further patterns and literal values."""
+def redact(df: DataFrame, key: str, text: str, extra: tuple[tuple[str, str], ...] = (), values: tuple[str, ...] = (), patterns: tuple[tuple[str, str], ...] = PATTERNS) -> DataFrame:
+    """key, text and notices (name, count) after redaction by the built-in (or other) patterns, further ones and literal values."""
 
     def run(batches):
-        rules = [(n, re.compile(p)) for n, p in (*PATTERNS, *extra)]
+        rules = [(n, re.compile(p)) for n, p in (*patterns, *extra)]
         for pdf in batches:
             done = [redaction(t or "", rules, list(values)) for t in pdf[text]]
             notices = [[{"name": n, "count": c} for n, c in sorted(pd.Series([s[2] for s in spans], dtype=object).value_counts().items())] for _, spans in done]
