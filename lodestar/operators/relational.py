@@ -107,14 +107,17 @@ BLOCK = 1000
 def glob_overlaps(left: DataFrame, right: DataFrame, key: str, glob: str) -> DataFrame:
     """a and b: the keys of path patterns that can name one path; * and ? stand for characters of one part, ** for any parts.
 
-    Patterns are joined on their depth and their first part, those without wildcards before the last part on all of these; only what has a wildcard in front, or ** anywhere,
+    Different patterns are compared, each pair once, and the keys of those that overlap are joined to them.  Patterns are joined on their depth
+    and their first part, those without wildcards before the last part on all of these; only what has a wildcard in front, or ** anywhere,
     is compared with all.  Whether two patterns overlap is decided by walking both.
     """
+    keyed = lambda df, name: df.select(F.col(key).alias(name), F.col(glob).alias(f"_{name}")).filter(F.col(f"_{name}").isNotNull()).distinct()
+
     def prepared(df, name):
         parts = F.split(F.regexp_replace(glob, r"^\./", ""), "/")
         deep = F.contains(F.col(glob), F.lit("**"))
         head = F.get(parts, 0)
-        return df.select(F.col(key).alias(name), F.col(glob).alias(f"_{name}"), F.when(deep, -1).otherwise(F.size(parts)).alias("_size"), F.when(head.rlike(r"[*?\[]"), F.lit(None)).otherwise(head).alias("_head"))
+        return df.select(glob).filter(F.col(glob).isNotNull()).distinct().select(F.col(glob).alias(f"_{name}"), F.when(deep, -1).otherwise(F.size(parts)).alias("_size"), F.when(head.rlike(r"[*?\[]"), F.lit(None)).otherwise(head).alias("_head"))
 
     @F.pandas_udf("boolean")
     def overlap(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -140,7 +143,7 @@ def glob_overlaps(left: DataFrame, right: DataFrame, key: str, glob: str) -> Dat
 
         return pd.Series([parts(tuple(x.split("/")), tuple(y.split("/"))) for x, y in zip(xs, ys)])
 
-    a, b = prepared(left, "a"), prepared(right, "b").select("b", "_b", F.col("_size").alias("_bs"), F.col("_head").alias("_bh"))
+    a, b = prepared(left, "a"), prepared(right, "b").select("_b", F.col("_size").alias("_bs"), F.col("_head").alias("_bh"))
     plain = lambda df, s, h: df.filter(F.col(h).isNotNull() & (F.col(s) >= 0))
     # a pattern without wildcards but in its last part meets only those that are equal up to there
     fixed = lambda c: ~F.regexp_replace(c, r"[^/]*$", "").rlike(r"[*?\[]")
@@ -149,16 +152,18 @@ def glob_overlaps(left: DataFrame, right: DataFrame, key: str, glob: str) -> Dat
     fa, fb = fa.withColumn("_dir", directory("_a")), fb.withColumn("_bdir", directory("_b"))
     both = fa.filter("_fixed").join(fb.filter("_fixed"), (F.col("_dir") == F.col("_bdir")) & (F.col("_size") == F.col("_bs")))
     some = fa.join(fb, (F.col("_head") == F.col("_bh")) & (F.col("_size") == F.col("_bs"))).filter(~(fa["_fixed"] & fb["_fixed"]))
-    take = lambda df: df.select("a", "_a", "b", "_b")
+    take = lambda df: df.select("_a", "_b")
     out = take(both).union(take(some))
     # patterns with a wildcard in front can meet any path: a stated set against all rows, in blocks
-    for one, other, names in ((a, b, ("a", "_a", "_size", "_head")), (b, a.filter(F.col("_head").isNotNull() & (F.col("_size") >= 0)), ("b", "_b", "_bs", "_bh"))):
-        open_ = [(r[0], r[1]) for r in one.filter(F.col(names[3]).isNull() | (F.col(names[2]) < 0)).select(*names[:2]).toLocalIterator()]
+    for one, other, name, head, size in ((a, b, "_a", "_head", "_size"), (b, a.filter(F.col("_head").isNotNull() & (F.col("_size") >= 0)), "_b", "_bh", "_bs")):
+        open_ = [r[0] for r in one.filter(F.col(head).isNull() | (F.col(size) < 0)).select(name).toLocalIterator()]
         for i in range(0, len(open_), BLOCK):
-            asked = F.explode(F.lit([x for _, x in open_[i : i + BLOCK]])).alias(names[1])
-            keys = one.select(names[0], names[1])
-            out = out.union(take(other.select("*", asked).join(keys, names[1])))
-    return out.filter(overlap("_a", "_b")).select("a", "b").distinct()
+            out = out.union(take(other.select("*", F.explode(F.lit(open_[i : i + BLOCK])).alias(name))))
+    met = out.filter(overlap("_a", "_b"))
+    pairs = met.join(keyed(left, "a"), "_a").join(keyed(right, "b"), "_b").select("a", "b")
+    # a pair of keys comes from one pair of patterns only, unless a key has several
+    once = lambda df: not df.select(key, glob).distinct().groupBy(key).count().filter("count > 1").head(1)
+    return pairs if once(left) and once(right) else pairs.distinct()
 
 
 def limited_to_changed(findings: DataFrame, changed: DataFrame, path: str, rules: list[str]) -> DataFrame:
