@@ -75,30 +75,36 @@ def bootstrap(df: DataFrame, group: str, cluster: str, left: str, right: str, ro
 
 
 def bradley_terry(matches: DataFrame, group: str) -> DataFrame:
-    """group, item, rating, se and matches: penalised maximum likelihood by Newton's method, centred; matches: x, y and score of x (1, 0.5, 0)."""
+    """group, item, rating, se and matches: penalised maximum likelihood by Newton's method, centred; matches: x, y and score of x (1, 0.5, 0).
+
+    The matches of a pair are summed first, so a group's task holds its pairs of items, however many matches there are.
+    """
+    sums = matches.groupBy(group, "x", "y").agg(F.sum(F.col("score").cast("double")).alias("score"), F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"], kind="stable")
         items = sorted({*pdf["x"], *pdf["y"]})
         at = {v: i for i, v in enumerate(items)}
         x, y, s = pdf["x"].map(at).to_numpy(), pdf["y"].map(at).to_numpy(), pdf["score"].to_numpy(float)
+        n = pdf["n"].to_numpy(float)
         r = np.zeros(len(items))
         for _ in range(200):
             p = 1 / (1 + np.exp(-(r[x] - r[y])))
             g = -r.copy()
-            np.add.at(g, x, s - p)
-            np.add.at(g, y, p - s)
-            h, w = np.eye(len(items)), p * (1 - p)
+            np.add.at(g, x, s - n * p)
+            np.add.at(g, y, n * p - s)
+            h, w = np.eye(len(items)), n * p * (1 - p)
             for i, j, v in ((x, x, w), (y, y, w), (x, y, -w), (y, x, -w)):
                 np.add.at(h, (i, j), v)
             step = np.linalg.solve(h, g)
             r += step
             if np.abs(step).max() < 1e-12:
                 break
-        n = np.bincount(np.concatenate([x, y]), minlength=len(items))
-        return pd.DataFrame({group: pdf[group].iloc[0], "item": items, "rating": r - r.mean(), "se": np.sqrt(np.diag(np.linalg.inv(h))), "matches": n})
+        met = np.bincount(np.concatenate([x, y]), np.concatenate([n, n]), len(items)).astype(np.int64)
+        return pd.DataFrame({group: pdf[group].iloc[0], "item": items, "rating": r - r.mean(), "se": np.sqrt(np.diag(np.linalg.inv(h))), "matches": met})
 
     kind = matches.schema[group].dataType.simpleString()
-    return matches.groupBy(group).applyInPandas(run, f"{group} {kind}, item {matches.schema['x'].dataType.simpleString()}, rating double, se double, matches long")
+    return sums.groupBy(group).applyInPandas(run, f"{group} {kind}, item {matches.schema['x'].dataType.simpleString()}, rating double, se double, matches long")
 
 
 def win_probability(a: Column, b: Column) -> Column:
