@@ -8,8 +8,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: BM25's and rank fusion's constants.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -322,6 +325,10 @@ def redact(df: DataFrame, key: str, text: str, extra: tuple[tuple[str, str], ...
 
 _SEEDS = np.array([0xCBF29CE484222325 ^ (((i + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) for i in range(16)], np.uint64)
 _PRIME = np.uint64(0x100000001B3)
+#: Texts are worked on in slices of about so many bytes.
+SLICE_BYTES = 2_000_000
+#: So many shingles are hashed at once; their states stay in the cache.
+SHINGLES = 1024
 
 
 def minhash_of(text: str | None) -> list[int] | None:
@@ -331,16 +338,20 @@ def minhash_of(text: str | None) -> list[int] | None:
         return None
     tokens = [t.lower() for t in tokens]
     shingles = sorted({" ".join(tokens[i : i + 5]).encode() for i in range(len(tokens) - 4)}, key=len)
-    size = np.array([len(s) for s in shingles])
-    wide = np.zeros((len(shingles), size[-1]), np.uint64)
-    for row, s in zip(wide, shingles):
-        row[: len(s)] = np.frombuffer(s, np.uint8)
-    state = np.repeat(_SEEDS[:, None], len(shingles), 1)
+    minima = np.full(16, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(size[-1]):
-            live = int(np.searchsorted(size, at, side="right"))
-            state[:, live:] = (state[:, live:] ^ wide[live:, at]) * _PRIME
-        minima = state.min(1).reshape(4, 4)
+        for first in range(0, len(shingles), SHINGLES):
+            some = shingles[first : first + SHINGLES]
+            size = np.array([len(x) for x in some])
+            # a row for each place, so that a step reads neighbours
+            wide = np.frombuffer(b"".join(x.ljust(size[-1], b"\0") for x in some), np.uint8).reshape(len(some), -1).T.astype(np.uint64)
+            state = np.repeat(_SEEDS[:, None], len(some), 1)
+            for at, live in enumerate(np.searchsorted(size, np.arange(size[-1]), side="right").tolist()):
+                rest = state[:, live:]
+                np.bitwise_xor(rest, wide[at, live:], out=rest)
+                np.multiply(rest, _PRIME, out=rest)
+            minima = np.minimum(minima, state.min(1))
+        minima = minima.reshape(4, 4)
         out = _SEEDS[:4].copy()
         for row in range(4):
             for byte in range(8):
@@ -357,6 +368,30 @@ def minhash(text: Column | str) -> Column:
     return F.pandas_udf(of, "array<bigint>")(text)
 
 
+def minhashes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and signature of each row, once; texts are worked on in slices of bounded size."""
+
+    def run(batches):
+        for batch in slices(batches, text):
+            found = pa.array([minhash_of(x) for x in batch.column(text).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), found], [key, "signature"])
+
+    # a table may be stored in fewer pieces than there are cores
+    rows = df.select(key, text).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+    return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, signature array<bigint>")
+
+
+def slices(batches, text: str, most: int = SLICE_BYTES):
+    """Cuts Arrow batches so that each holds about ``most`` bytes of text, one row at least."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        start, base = 0, 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(sizes, base + most, side="right")))
+            yield batch.slice(start, end - start)
+            start, base = end, int(sizes[end - 1])
+
+
 def band_groups(df: DataFrame, key: str, signature: str) -> DataFrame:
     """band, hash, n and first: the buckets of at least two rows that a band's hash makes."""
     flat = df.filter(F.col(signature).isNotNull()).select(key, F.posexplode(signature).alias("band", "hash"))
@@ -393,25 +428,30 @@ def line_blocks(df: DataFrame, key: str, text: str, most_lines: int = 80, most_b
     of it may be kept; null and empty texts give none.
     """
 
+    kind = to_arrow_type(df.schema[key].dataType)
+
+    def blocks(k, t):
+        block, size, n, mine = [], 0, 0, []
+        for line in re.finditer(r"[^\n]*\n|[^\n]+\Z", t or ""):
+            width = len(line[0].encode())
+            if width > longest:
+                return [(k, n, [], True)]
+            block.append(line[0].rstrip("\r\n"))
+            n, size = n + 1, size + width
+            if len(block) >= most_lines or size >= most_bytes:
+                mine.append((k, n - len(block), block, False))
+                block, size = [], 0
+        return [*mine, (k, n - len(block), block, False)] if block else mine
+
     def run(batches):
-        for pdf in batches:
-            out: list[tuple] = []
-            for k, t in zip(pdf[key], pdf[text]):
-                block, size, n, mine = [], 0, 0, []
-                for line in re.findall(r"[^\n]*\n|[^\n]+\Z", t or ""):
-                    width = len(line.encode())
-                    if width > longest:
-                        mine, block = [(k, n, [], True)], []
-                        break
-                    block.append(line.rstrip("\r\n"))
-                    n, size = n + 1, size + width
-                    if len(block) >= most_lines or size >= most_bytes:
-                        mine.append((k, n - len(block), block, False))
-                        block, size = [], 0
-                out += [*mine, (k, n - len(block), block, False)] if block else mine
-            yield pd.DataFrame(out, columns=["key", "base", "lines", "too_long"]).rename(columns={"key": key})
-
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, base int, lines array<string>, too_long boolean")
+        for batch in slices(batches, text):
+            rows: list[tuple] = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
+                rows += blocks(k, t)
+            columns = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, x_kind) for x, x_kind in zip(columns, (kind, pa.int32(), pa.list_(pa.string()), pa.bool_()))], [key, "base", "lines", "too_long"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, base int, lines array<string>, too_long boolean")
 
 
 def rendered(template: str, evidence: dict[str, Column]) -> Column:
