@@ -44,12 +44,15 @@ def query_terms(text: Column) -> Column:
 
 #: So many terms are looked up in a text before its words become rows; more are joined.
 FEW_TERMS = 5_000
+#: About so many texts' postings are one task's, and so many rows of queries' terms are broadcast.
+TEXTS, FEW_WANTED = 8_000, 200_000
 
 
 def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
     """term, key, tf and len: the inverted index of a table; with ``only`` (term), of these terms alone.
 
-    A text's other words are then dropped before anything is shuffled.
+    A text's other words are then dropped before anything is shuffled, and what is left of it travels once, as one string by its key,
+    so that what is counted or summed per text later needs no other exchange.
     """
     words = docs.select(key, terms(F.col(text)).alias("_w")).withColumn("len", F.size("_w"))
     if only is not None:
@@ -57,7 +60,12 @@ def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None
         if len(few) > FEW_TERMS:
             rows = words.select(key, "len", F.explode("_w").alias("term")).join(only.select("term").distinct(), "term", "left_semi")
             return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-        rows = words.select(key, "len", F.explode("_w").alias("term")).filter(F.col("term").isin(few) if few else F.lit(False))
+        kept = words.select(key, "len", F.array_sort(F.filter("_w", lambda w: w.isin(few) if few else F.lit(False))).alias("_w")).filter(F.size("_w") > 0)
+        # length and words in one column, so that whoever reads the index, and whatever of it, shares one exchange
+        kept = kept.select(key, F.concat_ws(" ", F.col("len").cast("string"), "_w").alias("_w"))
+        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // TEXTS))
+        parts = kept.repartition(tasks, key).select(key, F.split("_w", " ").alias("_w"))
+        rows = parts.select(key, F.col("_w")[0].cast("int").alias("len"), F.explode(F.slice("_w", 2, F.size("_w"))).alias("term"))
         return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     return words.select(key, "len", F.explode("_w").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
@@ -68,11 +76,12 @@ def bm25(index: DataFrame, totals: DataFrame, queries: DataFrame, key: str, quer
     totals: one row of n and avgdl.  Only the queries' terms are read from the index, by a semi-join.
     """
     wanted = queries.filter(F.length("term") >= least).select(query_key, "term").distinct()
-    hit = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.countDistinct(key).alias("df"))
-    t = hit.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(totals))
+    small = F.broadcast if wanted.limit(FEW_WANTED + 1).count() <= FEW_WANTED else lambda d: d
+    df = index.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.countDistinct(key).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(totals)).select(query_key, "term", idf.alias("_idf"), "avgdl")
+    t = index.join(small(weights), "term")
+    part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = t.groupBy(query_key, key).agg(F.sum(part).alias("score"))
     if limit is None:
         return scored
