@@ -6,7 +6,9 @@ The same portable SQL builds the views in Spark and in DuckDB, so queries over t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.graph import spread
 from .registry import Tables
 
 FILES = """
@@ -48,7 +50,10 @@ def views(t: Tables) -> dict[str, DataFrame]:
     """files, entities, edges and dependency_facts; also registered as temporary views, for rules."""
     for name in ("part", "lineitem", "orders", "customer"):
         getattr(t, name).createOrReplaceTempView(name)
-    out = {k: t.spark.sql(v) for k, v in NAMES.items()}
+    # the same rows by what the items are grouped by, so that they are grouped in parts of bounded size
+    items = F.expr("l_orderkey * 8 + l_linenumber")
+    spread(t.lineitem, t.lineitem.count(), items).createOrReplaceTempView("lineitem_by_item")
+    out = {k: t.spark.sql(v.replace("FROM lineitem ", "FROM lineitem_by_item ")) for k, v in NAMES.items()}
     for k, v in out.items():
         v.createOrReplaceTempView(k)
     return out
