@@ -259,16 +259,44 @@ def held_out_accuracy(matches: DataFrame, coefficients: dict[str, float], outcom
     return matches.agg(F.round(F.avg(right), 8).alias("accuracy"))
 
 
-def next_pairs(items: DataFrame, group: str, item: str, rating: str, error: str, played: DataFrame, k: int) -> DataFrame:
+#: Items of a group meet in blocks of so many that are alike.
+BLOCK = 100
+
+
+def next_pairs(items: DataFrame, group: str, item: str, rating: str, error: str, played: DataFrame | Column, k: int) -> DataFrame:
     """group, x and y: in each group the k pairs not yet played that are worth most: uncertain and close.
 
-    The items of a group are those that one panel rates, so pairs are made inside it; played: group, x, y with x < y.
+    Pairs are made inside a group; played: group, x, y with x < y, or a condition on these columns.  Items are put into blocks by error, then by rating.
+    The k-th best pair inside the blocks is a bound: two blocks meet only where the largest error of each and the least distance of their ratings could make a pair
+    that comes before it.  A group with fewer than k such pairs, and a block with a value that isn't finite, meets all.
     """
-    x, y = (items.select(group, F.col(item).alias(n), F.col(rating).alias(f"_r{n}"), F.col(error).alias(f"_e{n}")) for n in "xy")
-    pairs = x.join(y, group).filter("x < y").join(played.select(group, "x", "y"), [group, "x", "y"], "left_anti")
-    score = F.hypot("_ex", "_ey") / (1 + F.exp(F.abs(F.col("_rx") - F.col("_ry"))))
-    w = Window.partitionBy(group).orderBy(F.desc(F.round(score, 9)), "x", "y")
-    return pairs.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).select(group, "x", "y")
+    whole = Window.partitionBy(group)
+    rows = items.select(group, F.col(item).alias("_i"), F.col(rating).alias("_r"), F.abs(error).alias("_e"))
+    strip = F.floor((F.row_number().over(whole.orderBy("_e", "_r", "_i")) - 1) / F.ceil(F.sqrt(F.count("*").over(whole) * BLOCK)))
+    rows = rows.withColumn("_strip", strip)
+    block = F.floor((F.row_number().over(Window.partitionBy(group, "_strip").orderBy("_r", "_i")) - 1) / BLOCK)
+    rows = rows.select(group, F.shiftleft("_strip", 32).bitwiseOR(block).alias("_b"), "_i", "_r", "_e")
+    rows = rows.hint("merge")  # as many as items, so never broadcast
+    named = lambda df, n: df.select(group, *(F.col(c).alias(c + n) for c in df.columns if c != group))
+    worth = lambda apart: F.hypot("_e1", "_e2") / (1 + F.exp(apart))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """The first k of the pairs, as group, x, y, their rounded score and their place."""
+        pairs = pairs.select(group, F.least("_i1", "_i2").alias("x"), F.greatest("_i1", "_i2").alias("y"), F.round(worth(F.abs(F.col("_r1") - F.col("_r2"))), 9).alias("_s"))
+        left = pairs.filter(~F.coalesce(played, F.lit(False))) if isinstance(played, Column) else pairs.join(played.select(group, "x", "y"), [group, "x", "y"], "left_anti")
+        return left.withColumn("_k", F.row_number().over(whole.orderBy(F.desc("_s"), "x", "y"))).filter(F.col("_k") <= k)
+
+    inside = named(rows, "1").withColumnRenamed("_b1", "_b").join(named(rows, "2").withColumnRenamed("_b2", "_b"), [group, "_b"]).filter("_i1 < _i2")
+    bound = best(inside).filter(F.col("_k") == k).select(group, F.col("_s").alias("_least"), F.col("x").alias("_x"))
+    odd = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) >= float("inf"), F.lit(False))  # noqa: E731  NaN is above all
+    blocks = rows.groupBy(group, "_b").agg(F.max("_e").alias("_e"), F.min("_r").alias("_low"), F.max("_r").alias("_high"), F.min("_i").alias("_first"), F.bool_or(odd("_r") | odd("_e")).alias("_odd"))
+    two = named(blocks, "1").join(named(blocks, "2"), group).filter("_b1 <= _b2").join(bound, group, "left")
+    apart = F.greatest(F.greatest(F.col("_low2") - F.col("_high1"), F.col("_low1") - F.col("_high2")).cast("double"), F.lit(0.0))
+    top = F.round(worth(apart) * (1 + 1e-12), 9)  # functions of doubles err in the last places
+    first = F.least("_first1", "_first2") <= F.col("_x")
+    met = two.filter(F.col("_least").isNull() | F.col("_odd1") | F.col("_odd2") | (top > F.col("_least")) | ((top == F.col("_least")) & first)).select(group, "_b1", "_b2")
+    pairs = met.join(named(rows, "1"), [group, "_b1"]).join(named(rows, "2"), [group, "_b2"]).filter("_i1 < _i2 OR (_b1 < _b2 AND _i1 > _i2)")
+    return best(pairs).select(group, "x", "y")
 
 
 def agreement_report(labels: DataFrame, unit: str, rater: str, choice: str) -> DataFrame:
